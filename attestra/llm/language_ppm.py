@@ -16,6 +16,7 @@ Code lengths are integers (1/1024 bit), so sums do not depend on their order.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,8 +160,10 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     Rows without key, text or label teach nothing. First only keys and labels are ranked, then the chosen rows' texts are read.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).dropna()
-    first = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.select("k", "l").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label)
+    least = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
+    part = Window.partitionBy("l", F.pmod(F.xxhash64("k"), F.lit(251))).orderBy(F.xxhash64("k"), "k")
+    few = rows.select("k", "l").withColumn("n", F.row_number().over(part)).filter(F.col("n") <= per_label)  # a label's rows never meet in one task
+    chosen = few.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= per_label)
     found = rows.join(F.broadcast(chosen.select("k", "l", "n")), ["k", "l"]).select("l", "n", "k", "t").collect()
     samples, spent = [], {}
     for r in sorted(found, key=lambda r: (r["l"], r["n"], r["k"], r["t"])):
@@ -203,6 +206,36 @@ def predict(df: DataFrame, model: Automaton, key: str = "doc_id", text: str = "t
     return map_rows(df, [key, text], make, f"`{key}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str = "lang", max_bits: float = 7.5) -> DataFrame:
+    """The rows whose text is in a learned language, labelled with the predicted one; other columns as they are.
+
+    Rejected are texts that are null or have no letter, and texts that the best language spends over `max_bits` a byte on: not
+    even common bytes are known then. With nothing learned there is nothing to judge by, and only texts without a letter go.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at, named = df.columns.index(text), df.columns.index(label)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                texts = [t if t is not None and LETTER.search(t) else None for t in part.column(at).to_pylist()]
+                if known.languages:
+                    encoded = [_encoded(t) if t else b"" for t in texts]
+                    lengths = code_lengths(known, encoded)
+                    best = lengths.argmin(1)
+                    keep = [t is not None and row.min() <= max_bits * UNIT * len(raw) for t, row, raw in zip(texts, lengths, encoded, strict=True)]
+                    columns = list(part.columns)
+                    columns[named] = pa.array([known.languages[i] for i in best], part.schema.field(named).type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                else:
+                    keep = [t is not None for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(over, df.schema)
+
+
 def held_out(key: str = "doc_id"):
     """The third of the keys that nothing may be learned from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
