@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestra.llm import language_ppm, simhash_bytes
+from attestra.llm import bpe_bitmap, decontaminate_gst, language_ppm, pii_semicrf, simhash_bytes
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate_gst.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bytes.near_duplicates(_table(spark, folder, "documents"))
 
@@ -23,10 +31,35 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language_ppm.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    found = bpe_bitmap.decode(bpe_bitmap.encode(_table(spark, folder, "documents"), path, pattern), path, pattern)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_semicrf.detect(_table(spark, folder, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii_semicrf.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_simhash": op4_simhash,
         "op6_language": op6_language,
+        "op7_bpe": op7_bpe,
+        "op8_pii": op8_pii,
     }
 
 
