@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import bpe_bitmap, decontaminate_gst, language_ppm, pii_semicrf, simhash_bytes
+from attestra.llm import bpe_bitmap, chat_events, decontaminate_gst, html_style_tree, language_ppm, pii_semicrf, quality_repetition, rendezvous, simhash_bytes, url_cascade
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Host and path rules, and hosts that block where no rule fits.
+RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+BLOCKED = ("cheap-pills.example.com/", "spam-farm.example.org/")
+SHARDS = (1.0,) * 40
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,10 +25,24 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate_gst.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op2_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return url_cascade.filter_urls(_table(spark, folder, "pages"), RULES, BLOCKED)
+
+
+def op3_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_style_tree.extract(_table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bytes.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_repetition.judge(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = language_ppm.identify(docs)
@@ -53,15 +71,39 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that says the template's own control strings."""
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, folder, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rendered = chat_events.reconstruct(chat_events.events_of_turns(turns.union(planted)))
+    return chat_events.read_back(rendered).withColumnRenamed("conversation", "conv_id")
+
+
+def op10_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
+    return rendezvous.shard_rows(_table(spark, folder, "documents"), SHARDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_url_cascade": op2_url_cascade,
+        "op3_style_tree": op3_style_tree,
         "op4_simhash": op4_simhash,
+        "op5_repetition": op5_repetition,
         "op6_language": op6_language,
         "op7_bpe": op7_bpe,
         "op8_pii": op8_pii,
+        "op9_chat": op9_chat,
+        "op10_rendezvous": op10_rendezvous,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that DuckDB can say; tests hold the others against brute force."""
+    return {
+        "op2_url_cascade": url_cascade.sql(RULES, BLOCKED),
+        "op5_repetition": quality_repetition.SQL,
+        "op9_chat": chat_events.SQL,
+        "op10_rendezvous": rendezvous.SQL,
+    }
