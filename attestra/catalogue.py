@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestra.plans import fact_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+#: name: (query, SQL or None)
+ALL: dict[str, tuple[Query, str | None]] = {**fact_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+    return ALL["lookup_latest"][0](spark, folder)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}
