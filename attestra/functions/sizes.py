@@ -1,0 +1,13 @@
+"""Broadcast only what is small, by counting it first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many (narrow) rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
