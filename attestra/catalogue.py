@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.plans import fact_queries, log_queries
+from attestra.plans import fact_queries, log_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: name: (query, SQL or None)
-ALL: dict[str, tuple[Query, str | None]] = {**fact_queries.QUERIES, **log_queries.QUERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**fact_queries.QUERIES, **log_queries.QUERIES, **text_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
