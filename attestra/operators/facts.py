@@ -2,8 +2,8 @@
 
 A fiber is one (scope, subject, predicate). Reports of one thing share an orbit; the latest report of an orbit stands for it. Two clocks
 differ on purpose: states compare (version, event_time, observed_at), orbits (version, observed_at). Ties are part of the
-meaning, so the latest rows are found by two map-side aggregations (by clock, then the greatest clock) that keep the
-least and greatest signature: no window holds a fiber's rows, and no fiber meets in one task.
+meaning, so the latest rows are found by one aggregation with map-side combine that keeps the greatest and least digest of
+what they say: no window holds a fiber's rows, and no fiber meets in one task.
 """
 
 from __future__ import annotations
@@ -27,43 +27,58 @@ def as_of(facts: DataFrame, at_time: int | None) -> DataFrame:
     return facts if at_time is None else facts.filter(F.col("observed_at") <= at_time)
 
 
+def _digest(columns: list[str]) -> Column:
+    """64 bits of some columns, nulls told apart from values."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def latest(facts: DataFrame, by: list[str], clock: list[str], signature: list[str], carry: list[str]) -> DataFrame:
-    """(by, low, high, first, orbits): of the rows with the greatest clock, the least and greatest signature and the first row by id."""
-    at_clock = facts.groupBy(*by, *clock).agg(
-        F.min(F.struct(*signature)).alias("low"),
-        F.max(F.struct(*signature)).alias("high"),
-        F.min(F.struct("fact_id", *carry)).alias("first"),
-        F.min("orbit").alias("low_orbit"),
-        F.max("orbit").alias("high_orbit"),
+    """(by, first, clash, orbits_differ): of the rows with the greatest clock, the first by id, and whether they disagree.
+
+    Rows agree when the greatest and the least digest among those of the greatest clock are one; the least is found as the
+    greatest complement, so one aggregation with map-side combine does it all.
+    """
+    rows = facts.select("*", _digest(signature).alias("_s"), _digest(["orbit"]).alias("_o"))
+    top = lambda *more: F.max(F.struct(*clock, *more))
+    found = rows.groupBy(*by).agg(
+        top((-F.col("fact_id")).alias("back"), *carry).alias("first"),
+        top(F.col("_s").alias("x")).alias("s1"),
+        top(F.bitwise_not("_s").alias("x")).alias("s2"),
+        top(F.col("_o").alias("x")).alias("o1"),
+        top(F.bitwise_not("_o").alias("x")).alias("o2"),
+    )
+    return found.select(
+        *by,
+        F.struct((-F.col("first.back")).alias("fact_id"), *[F.col(f"first.{c}") for c in carry]).alias("first"),
+        (F.col("s1.x") != F.bitwise_not("s2.x")).alias("clash"),
+        (F.col("o1.x") != F.bitwise_not("o2.x")).alias("orbits_differ"),
     )
-    top = at_clock.groupBy(*by).agg(F.max_by(F.struct("low", "high", "first", "low_orbit", "high_orbit"), F.struct(*clock)).alias("top"))
-    return top.select(*by, "top.*")
 
 
 def collapse_orbits(facts: DataFrame, by: list[str] = FIBER, at_time: int | None = None) -> DataFrame:
     """The latest report of every orbit, with `conflict` where its latest reports disagree."""
     rows = as_of(facts, at_time).withColumn("orbit", orbit())
     carry = ["value", "unit", "polarity", "asserted", "event_time", "causes"]
-    found = latest(rows, [*by, "orbit"], ORBIT_CLOCK, carry, carry)
-    return found.select(*by, "orbit", "first.*", (F.col("low") != F.col("high")).alias("conflict"))
+    found = latest(rows, [*by, "orbit"], ORBIT_CLOCK, carry, [c for c in carry if c not in ORBIT_CLOCK])
+    return found.select(*by, "orbit", "first.*", F.col("clash").alias("conflict"))
 
 
 def lookup(facts: DataFrame, by: list[str] = FIBER, at_time: int | None = None) -> DataFrame:
     """Each fiber's latest state; ties that disagree, uncertain and negative states abstain."""
     rows = as_of(facts, at_time).withColumn("orbit", orbit())
-    found = latest(rows, by, STATE_CLOCK, ["value", "unit", "polarity", "asserted"], [])
-    clash = F.col("low") != F.col("high")
+    said = ["value", "unit", "polarity", "asserted"]
+    found = latest(rows, by, STATE_CLOCK, said, said)
     return ladder(
         found,
         by,
         [
-            (clash & (F.col("low_orbit") == F.col("high_orbit")), "abstain", "conflicting_latest_orbit"),
-            (clash, "abstain", "contested_latest_state"),
-            (~F.col("low.asserted"), "abstain", "uncertain_fact"),
-            (F.col("low.polarity") < 0, "abstain", "latest_state_is_negative"),
+            (F.col("clash") & ~F.col("orbits_differ"), "abstain", "conflicting_latest_orbit"),
+            (F.col("clash"), "abstain", "contested_latest_state"),
+            (~F.col("first.asserted"), "abstain", "uncertain_fact"),
+            (F.col("first.polarity") < 0, "abstain", "latest_state_is_negative"),
         ],
-        F.col("low.value"),
-        F.col("low.unit"),
+        F.col("first.value"),
+        F.col("first.unit"),
         F.array("first.fact_id"),
         "unique_latest_state",
     )
