@@ -165,12 +165,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """One row of each component, that with the least key, all columns as they are; of repeated rows with one key, one stays.
-    Rows without a key cannot be told from their copies and stay. Texts are joined by key only where some rows go."""
+    Rows without a key cannot be told from their copies and stay. The join is by key and shuffled at every size: what goes grows
+    with the corpus, so it is never broadcast."""
     found = near_duplicates(df, key, text, words).filter(F.col(key).isNotNull())
     keys = materialize(found.groupBy(key).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")), "keys")
     gone = keys.filter((F.col("rows") > 1) | (F.col(key) != F.col("least"))).select(key)
     again = keys.filter((F.col("rows") > 1) & (F.col(key) == F.col("least"))).select(key)
-    kept = df.join(gone, key, "left_anti")
+    kept = df.hint("merge").join(gone, key, "left_anti")
     if not again.isEmpty():
-        kept = kept.unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+        kept = kept.unionByName(df.hint("merge").join(again, key, "left_semi").dropDuplicates([key]))
     return kept.select(*df.columns)
