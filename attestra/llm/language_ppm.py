@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import map_rows
+from attestra.llm.common import map_rows, run_bounds
 
 UNIT = 1024
 LETTER = re.compile(r"[^\W\d_]")
@@ -41,58 +41,55 @@ class Automaton:
     cost: np.ndarray
 
 
+#: Digits and ASCII punctuation say nothing about a language and are left out; white space is one kind of byte.
+SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+LEFT_OUT = bytes(c for c in range(128) if not chr(c).isalpha() and not chr(c).isspace())
+
+
 def _encoded(text: str) -> bytes:
-    return text.lower().encode("utf-8", "replace")
+    """What is coded of a text: its letters in lower case and its white space."""
+    return text.lower().encode("utf-8", "replace").translate(SPACES, LEFT_OUT)
 
 
 def fit(samples: list[tuple[str, str]], order: int = 5, max_contexts: int = 8000) -> Automaton:
     """samples: (language, text). Keeps the `max_contexts` most frequent contexts of all trees, shorter ones first among equals,
     so that every suffix of a kept context is kept. No samples: an automaton without languages."""
     languages = tuple(sorted({lang for lang, _ in samples}))
-    pad = b"\n" * order
-    counts: list[dict[bytes, np.ndarray]] = []
+    pad = b" " * order
+    #: For each language and context length: n-grams as numbers (context, then byte) in order, and how often each occurs.
+    grams: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     totals: dict[bytes, int] = {b"": 1 << 62}
-    for lang in languages:
+    for j, lang in enumerate(languages):
         data = np.frombuffer(pad + b"".join(_encoded(t) + pad for of, t in samples if of == lang), np.uint8)
-        tree: dict[bytes, np.ndarray] = {}
         n = len(data) - order
         for k in range(order + 1):
-            grams = np.lib.stride_tricks.sliding_window_view(data[order - k :], k + 1)[:n]
-            key = np.zeros(len(grams), np.uint64)
-            for j in range(k + 1):
-                key = (key << np.uint64(8)) | grams[:, j].astype(np.uint64)
+            key = np.zeros(n, np.uint64)
+            for i in range(k + 1):
+                key = (key << np.uint64(8)) | data[order - k + i : order - k + i + n]
             found, times = np.unique(key, return_counts=True)
-            contexts = found >> np.uint64(8)
-            starts = np.concatenate([[0], np.flatnonzero(contexts[1:] != contexts[:-1]) + 1, [len(contexts)]])
-            if k and len(starts) - 1 > 4 * max_contexts:
-                sums = np.add.reduceat(times, starts[:-1])
-                keep = np.argsort(-sums, kind="stable")[: 4 * max_contexts]
-            else:
-                keep = np.arange(len(starts) - 1)
-            for i in keep:
-                a, b = starts[i], starts[i + 1]
-                row = np.zeros(256, np.int64)
-                row[(found[a:b] & np.uint64(255)).astype(np.int64)] = times[a:b]
-                context = int(contexts[a]).to_bytes(k, "big") if k else b""
-                tree[context] = row
-                if k:
-                    totals[context] = totals.get(context, 0) + int(times[a:b].sum())
-        counts.append(tree)
+            grams[j, k] = found, times
+            starts = run_bounds(found >> np.uint64(8))[:-1]
+            sums = np.add.reduceat(times, starts)
+            for i in np.argsort(-sums, kind="stable")[:max_contexts] if k else ():
+                context = int(found[starts[i]] >> np.uint64(8)).to_bytes(k, "big")
+                totals[context] = totals.get(context, 0) + int(sums[i])
     kept = sorted(totals, key=lambda c: (-totals[c], len(c), c))[:max_contexts]
     closed = set(kept)
     kept = sorted((c for c in kept if all(c[i:] in closed for i in range(1, len(c) + 1))), key=lambda c: (len(c), c))
     state = {c: i for i, c in enumerate(kept)}
     step = np.zeros((len(kept), 256), np.uint16)
-    cost = np.zeros((len(kept), 256, len(languages)), np.float64)
+    cost = np.full((len(kept), 256, len(languages)), 8.0, np.float32)
     for c, i in state.items():
-        cost[i] = cost[state[c[1:]]] if c else 8.0
-        for j, tree in enumerate(counts):
-            row = tree.get(c)
-            if row is not None and row.sum():
-                total, kinds = int(row.sum()), int((row > 0).sum())
-                seen = row > 0
-                cost[i, :, j] += np.log2((total + kinds) / kinds)
-                cost[i, seen, j] = np.log2((total + kinds) / row[seen])
+        if c:
+            cost[i] = cost[state[c[1:]]]
+        low = int.from_bytes(c, "big") << 8
+        for j in range(len(languages)):
+            found, times = grams[j, len(c)]
+            a, b = np.searchsorted(found, np.array([low, low + 256], np.uint64))
+            if a < b:
+                total, kinds, seen = int(times[a:b].sum()), int(b - a), (found[a:b] & np.uint64(255)).astype(np.int64)
+                cost[i, :, j] += np.float32(np.log2((total + kinds) / kinds))
+                cost[i, seen, j] = np.log2((total + kinds) / times[a:b])
     # shortest contexts first: the state after c and a byte is that context if it is kept, else where c's suffix goes
     children: dict[bytes, list[bytes]] = {}
     for c in kept[1:]:
@@ -108,7 +105,7 @@ def fit(samples: list[tuple[str, str]], order: int = 5, max_contexts: int = 8000
 def code_lengths(model: Automaton, texts: list[bytes]) -> np.ndarray:
     """Exact code length of every text in every language, in 1/UNIT bits."""
     d, out = model.order, np.zeros((len(texts), len(model.languages)), np.int64)
-    pad = b"\n" * d
+    pad = b" " * d
     parts: list[bytes] = []
     owners: list[int] = []
     sizes: list[int] = []
@@ -157,7 +154,7 @@ def code_lengths(model: Automaton, texts: list[bytes]) -> np.ndarray:
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 250, max_bytes: int = 1 << 20, order: int = 5, max_contexts: int = 8000) -> Automaton:
     """Fits on a bounded sample: of each label the `per_label` rows with the least hash of their key, at most `max_bytes` of text.
 
-    Rows without key, text or label teach nothing. First only keys and labels are ranked, then the chosen rows' texts are read.
+    Rows without key, label or a letter in their text teach nothing. First only keys and labels are ranked, then the chosen rows' texts are read.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).dropna()
     least = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
@@ -167,7 +164,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     found = rows.join(F.broadcast(chosen.select("k", "l", "n")), ["k", "l"]).select("l", "n", "k", "t").collect()
     samples, spent = [], {}
     for r in sorted(found, key=lambda r: (r["l"], r["n"], r["k"], r["t"])):
-        if spent.get(r["l"], 0) < max_bytes:
+        if spent.get(r["l"], 0) < max_bytes and LETTER.search(r["t"]):
             samples.append((r["l"], r["t"]))
             spent[r["l"]] = spent.get(r["l"], 0) + len(r["t"])
     return fit(samples, order, max_contexts)
@@ -209,8 +206,8 @@ def predict(df: DataFrame, model: Automaton, key: str = "doc_id", text: str = "t
 def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str = "lang", max_bits: float = 7.5) -> DataFrame:
     """The rows whose text is in a learned language, labelled with the predicted one; other columns as they are.
 
-    Rejected are texts that are null or have no letter, and texts that the best language spends over `max_bits` a byte on: not
-    even common bytes are known then. With nothing learned there is nothing to judge by, and only texts without a letter go.
+    Rejected are texts that are null or have no letter, and texts on whose letters the best language spends over `max_bits` a
+    byte: not even common bytes are known then. With nothing learned there is nothing to judge by, and only texts without a letter go.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     at, named = df.columns.index(text), df.columns.index(label)
