@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from attestra.llm.common import map_rows
 
-CACHE, CACHED_BYTES = 1_000_000, 48
+FREE, CACHE, CACHED_BYTES, ONCE_BITS = 300_000, 500_000, 48, 1 << 24
 
 
 NARROW = 0x300
@@ -142,19 +142,30 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """A pre-token's ids as int32 bytes; emptied when full, which changes nothing but time."""
+    """A pre-token's ids as int32 bytes. The first FREE pre-tokens are kept, later ones from their second sight on (a bit table by
+    hash remembers the first, roughly), so the many that occur once take little room; when full, all are dropped. This changes
+    nothing but time."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.once, self.marks = bytearray(ONCE_BITS >> 3), 0
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
         out = np.array(self.vocabulary.merge(raw), np.int32).tobytes()
         if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = out
+            at = hash(piece) & (ONCE_BITS - 1)
+            bit = 1 << (at & 7)
+            if len(self) < FREE or self.once[at >> 3] & bit:
+                if len(self) >= CACHE:
+                    self.clear()
+                self[piece] = out
+            else:
+                self.once[at >> 3] |= bit
+                self.marks += 1
+                if self.marks > ONCE_BITS >> 2:
+                    self.once, self.marks = bytearray(ONCE_BITS >> 3), 0
         return out
 
 
