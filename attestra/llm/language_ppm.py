@@ -21,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import map_rows, run_bounds
 
 UNIT = 1024
 LETTER = re.compile(r"[^\W\d_]")
-LANE, PIECE, BUFFER = 192, 1 << 20, 1 << 21
+LANE, PIECE, BUFFER = 192, 1 << 20, 1 << 20
+DRAWS = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -152,16 +153,25 @@ def code_lengths(model: Automaton, texts: list[bytes]) -> np.ndarray:
 
 
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 250, max_bytes: int = 1 << 20, order: int = 5, max_contexts: int = 8000) -> Automaton:
-    """Fits on a bounded sample: of each label the `per_label` rows with the least hash of their key, at most `max_bytes` of text.
+    """Fits on a bounded sample: of each label the `per_label` keys with the least hash, at most `max_bytes` of text.
 
-    Rows without key, label or a letter in their text teach nothing. First only keys and labels are ranked, then the chosen rows' texts are read.
+    Rows without key, label or a letter in their text teach nothing. Labels are counted, then only the keys under a bar that lets about as
+    many through as are wanted come to the driver (nothing is sorted or gathered by label), then the chosen rows' texts are read.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).dropna()
-    least = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    part = Window.partitionBy("l", F.pmod(F.xxhash64("k"), F.lit(251))).orderBy(F.xxhash64("k"), "k")
-    few = rows.select("k", "l").withColumn("n", F.row_number().over(part)).filter(F.col("n") <= per_label)  # a label's rows never meet in one task
-    chosen = few.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= per_label)
-    found = rows.join(F.broadcast(chosen.select("k", "l", "n")), ["k", "l"]).select("l", "n", "k", "t").collect()
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # labels are few
+    draw, top = F.pmod(F.xxhash64("k"), F.lit(DRAWS)), dict.fromkeys(sizes, 0)
+    picked: dict[object, list] = {}
+    while open_ := [lang for lang in sizes if len(picked.get(lang, ())) < per_label and top[lang] < DRAWS]:
+        for lang in open_:  # half as many again as are wanted, then twice as many each time; a key counts once
+            top[lang] = min(DRAWS, top[lang] * 2 or int(1.5 * per_label / sizes[lang] * DRAWS) + 1)
+        bar = F.create_map(*[F.lit(x) for lang in open_ for x in (lang, top[lang])])
+        drawn = rows.select("l", "k", draw.alias("d")).filter(F.col("d") < F.try_element_at(bar, F.col("l"))).distinct().collect()
+        picked |= {lang: sorted((r["d"], r["k"]) for r in drawn if r["l"] == lang)[:per_label] for lang in open_}
+    ids = [(lang, k, n) for lang, keys in picked.items() for n, (_, k) in enumerate(keys)]
+    schema = f"l string, k {df.schema[key].dataType.simpleString()}, n int"
+    chosen = df.sparkSession.createDataFrame(ids, schema)
+    found = rows.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "n", "k").agg(F.min("t").alias("t")).collect()  # one text a key
     samples, spent = [], {}
     for r in sorted(found, key=lambda r: (r["l"], r["n"], r["k"], r["t"])):
         if spent.get(r["l"], 0) < max_bytes and LETTER.search(r["t"]):
