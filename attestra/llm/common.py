@@ -1,33 +1,17 @@
-"""What the corpus operators share: shared-folder tables, Arrow column helpers and connected components."""
+"""What the corpus operators share: Arrow column helpers; tables in the shared folder and components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from attestra.operators.graphs import connected_components, materialize, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/attestra-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["byte_choices", "byte_values", "connected_components", "map_rows", "materialize", "run_bounds", "shared_folder"]
 
 
 def byte_values(column: pa.Array) -> list[bytes | None]:
@@ -50,45 +34,6 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.
     return df.select(*columns).mapInArrow(over, schema)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an undirected edge table (a, b); root is the smallest node of its component.
-
-    Alternates large-star and small-star steps (every node hooks its larger, then its smaller neighbours to the least
-    one it sees) until the edge set is a forest of stars. Each step is an aggregation with map-side minima and one
-    equi-join that adaptive execution can split, so a component of any size never meets in one task; each round is
-    written to the shared folder. Self loops and null ends are ignored; an empty input gives an empty result.
-    """
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        """e: every link of a node u (a) to v (b)."""
-        least = e.groupBy("a").agg(F.min("b").alias("low"))
-        least = least.select("a", F.least("a", "low").alias("m"))
-        kept = e.filter(F.col("b") > F.col("a")) if large else e
-        out = kept.join(least, "a")
-        if large:
-            return out.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s")).select("s.*")
-
-    def clean(e: DataFrame) -> DataFrame:
-        return e.filter(F.col("a") != F.col("b")).distinct()
-
-    links = clean(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    links = materialize(links, "links")
-    before = None
-    for k in range(max_rounds):
-        links = clean(star(both(links), large=True))
-        links = materialize(clean(star(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), large=False)), f"round{k}")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def run_bounds(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin, and the end."""
     if not len(keys):
