@@ -5,7 +5,7 @@ Texts are lower-cased and cut into words (`\\w+`). A document and a test item ar
 Every tile is made of seeds, so only the parts of a document that seeds cover are tiled: greedy string tiling repeatedly
 marks the longest matches that no tile covers yet, found by running Karp-Rabin hashes at a falling search length. Tiles may
 come in any order, so reordered passages count. A document is contaminated by an item when tiles cover at
-least `threshold` of the item's words.
+least `threshold` of the item's words, or when one tile has `long` words or more.
 
 The items are sent to the executors in blocks of at most `block_bytes` of text, one pass over the documents for each block, so
 what is broadcast is bounded however large the benchmark is. Documents are never shuffled, and a passage that many
@@ -28,7 +28,7 @@ from attestra.llm.common import map_rows
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MINIMUM, THRESHOLD, BLOCK_BYTES = 5, 0.5, 16 << 20
+MINIMUM, THRESHOLD, LONG, BLOCK_BYTES = 5, 0.5, 13, 16 << 20
 
 
 def running_hashes(ids: np.ndarray, length: int) -> np.ndarray:
@@ -127,8 +127,8 @@ def index_items(items: list[tuple[object, str]], minimum: int) -> Items:
     return Items(vocabulary, [k for k, _ in items], words, seeds, [tuple(sorted(where[h])) for h in seeds.tolist()], minimum)
 
 
-def matches(text: str | None, items: Items, threshold: float) -> list[tuple[int, int, int, int]]:
-    """(item's index, tiles, covered words, longest tile) for each item of which tiles cover enough."""
+def matches(text: str | None, items: Items, threshold: float, long: int = LONG) -> list[tuple[int, int, int, int]]:
+    """(item's index, tiles, covered words, longest tile) for each item that the text holds."""
     m = items.minimum
     if not text or not len(items.seeds):
         return []
@@ -153,8 +153,6 @@ def matches(text: str | None, items: Items, threshold: float) -> list[tuple[int,
     out = []
     for k, starts in sorted(covers.items()):
         pattern = items.words[k]
-        if len(set(ids[np.unique(np.add.outer(starts, np.arange(m)))].tolist()) & set(pattern)) == 0:
-            continue
         part: list[int] = []
         end = -1
         for s in starts:
@@ -164,9 +162,9 @@ def matches(text: str | None, items: Items, threshold: float) -> list[tuple[int,
             part.extend(ids[end : s + m].tolist())
             end = s + m
         tiles = tile(pattern, part, m)
-        covered = sum(size for _, _, size in tiles)
-        if covered >= threshold * len(pattern):
-            out.append((k, len(tiles), covered, max((size for _, _, size in tiles), default=0)))
+        covered, longest = sum(size for _, _, size in tiles), max((size for _, _, size in tiles), default=0)
+        if covered >= threshold * len(pattern) or longest >= long:
+            out.append((k, len(tiles), covered, longest))
     return out
 
 
