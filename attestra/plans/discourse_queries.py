@@ -203,3 +203,8 @@ QUERIES = {
     "verified_candidates": (verified_candidates, VERIFIED_SQL),
     "sentence_context": (sentence_context, CONTEXT_SQL),
 }
+
+#: Ranks are ints here; row numbers are wider in SQL.
+for _name in ("causal_weave", "temporal_weave", "verified_candidates"):
+    _query, _sql = QUERIES[_name]
+    QUERIES[_name] = (_query, f"SELECT * REPLACE (rank::INT AS rank) FROM ({_sql})")

@@ -300,7 +300,7 @@ QUERIES = {
     ),
     "kv_conflict_audit": (kv_conflict_audit, AUDIT_SQL),
     "kv_compaction": (kv_compaction, _snapshot_sql("")),
-    "kv_export": (kv_export, f"WITH s AS ({_snapshot_sql('')}) SELECT fact_id, value, sha256(fact_id || '|' || value || '|log|present') AS checksum FROM s WHERE op = 'PUT'"),
+    "kv_export": (kv_export, f"WITH s AS ({_snapshot_sql('')}) SELECT fact_id, value::BIGINT AS value, sha256(fact_id || '|' || value || '|log|present') AS checksum FROM s WHERE op = 'PUT'"),
     "kv_storage_ledger": (kv_storage_ledger, f"WITH s AS ({_snapshot_sql('')}) SELECT CASE WHEN op = 'DELETE' THEN 'tombstone' ELSE 'value' END AS class, count(*) AS keys, sum(length(coalesce(value::VARCHAR, '')) + 8)::BIGINT AS bytes FROM s GROUP BY 1"),
     "kv_unreachable": (kv_unreachable, f"WITH s AS ({_snapshot_sql('')}) SELECT event_id AS object_id FROM events WHERE event_id NOT IN (SELECT seq FROM s)"),
     "active_set_replay": (

@@ -310,3 +310,8 @@ QUERIES = {
     "text_columns": (text_columns, TEXT_SQL),
     "stem_counts": (stems, STEM_SQL),
 }
+
+#: Places in a list are ints here; row numbers are wider in SQL.
+for _name, _column in [(n, "rank") for n in ("bm25_topk", "bm25_plus_topk", "tfidf_topk", "dense_hash_topk", "hybrid_rrf", "embedding_cosine_topk", "rrf_fuse", "linear_channel_score", "conformal_filter", "session_neighbors", "prefix_cutoff")] + [("interleave_modes", "position")]:
+    _query, _sql = QUERIES[_name]
+    QUERIES[_name] = (_query, f"SELECT * REPLACE ({_column}::INT AS {_column}) FROM ({_sql})")
