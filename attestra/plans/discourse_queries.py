@@ -46,14 +46,14 @@ SELECT min(cause) AS root, count(DISTINCT x) AS facts FROM (SELECT subject, caus
 
 
 def narrative_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Layers of the first facts by their causes."""
+    """Layers of the first facts by their causes, eight at most."""
     f = tables.facts(spark, folder).filter("fact_id < 300")
     arrows = f.select(F.explode("causes").alias("src"), F.col("fact_id").alias("dst"))
     found = graphs.layers(f.select(F.col("fact_id").alias("node")), arrows, 8)
-    return found.groupBy("layer").agg(F.count("*").alias("facts"))
+    return found.groupBy(F.coalesce(F.col("layer").cast("string"), F.lit("beyond")).alias("layer")).agg(F.count("*").alias("facts"))
 
 
-LAYER_SQL = f"WITH {tables.FACTS}, k AS (SELECT row_number() OVER (PARTITION BY subject ORDER BY fact_id) - 1 AS layer FROM facts WHERE fact_id < 300) SELECT layer::INT AS layer, count(*) AS facts FROM k GROUP BY 1"
+LAYER_SQL = f"WITH {tables.FACTS}, k AS (SELECT row_number() OVER (PARTITION BY subject ORDER BY fact_id) - 1 AS layer FROM facts WHERE fact_id < 300) SELECT CASE WHEN layer <= 8 THEN layer::VARCHAR ELSE 'beyond' END AS layer, count(*) AS facts FROM k GROUP BY 1"
 
 
 def microcitations(spark: SparkSession, folder: str) -> DataFrame:
