@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 
 from attestra.llm.common import map_rows
 
-FREE, CACHE, CACHED_BYTES, ONCE_BITS = 300_000, 500_000, 48, 1 << 24
+FREE, CACHE, CACHED_BYTES, ONCE_BITS = 200_000, 400_000, 48, 1 << 24
+SCALAR_BYTES, ROWS = 4096, 512
 
 
 NARROW = 0x300
@@ -62,6 +63,96 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        pairs = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self.pairs = np.array([p for p, _ in pairs] + [-1], np.int64)  # left << 32 | right of every pair that merges, in order
+        self.merged = np.array([r for _, r in pairs] + [-1], np.int32)
+        self.pairs[-1] = np.iinfo(np.int64).max
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+
+    def rank_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank that each pair of ids merges into; -1 for none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1).astype(np.int32)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pre-tokens as int32 bytes: all lie in one linked list, with a stop between them, and one rank queue serves them
+        together, a whole bucket at a time. Buckets hold arrays of positions; in a bucket, a pair whose left token a
+        merge just before took is left out, as it would be one by one from the left."""
+        if sum(map(len, pieces)) < SCALAR_BYTES:
+            return [np.array(self.merge(p), np.int32).tobytes() for p in pieces]
+        whole = [self.ranks.get(p) for p in pieces]
+        todo = [p for p, w in zip(pieces, whole, strict=True) if w is None]
+        sizes = np.fromiter(map(len, todo), np.int64, len(todo))
+        data = np.frombuffer(b"\0".join([*todo, b""]), np.uint8)
+        n = len(data)
+        stops = np.cumsum(sizes + 1) - 1
+        ids = np.append(self.single[data], np.int32(-1))
+        ids[stops] = -1
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        paired = np.append(self.rank_pairs(ids[: n - 1], ids[1:n]), np.full(2, -1, np.int32))
+        alive, marked = ids >= 0, np.zeros(n + 1, bool)
+        top, leaves, buckets = 0, {}, {}
+        fresh = np.flatnonzero(paired >= 0)
+        while True:
+            if len(fresh):
+                ranks = paired[fresh]
+                order = np.argsort(ranks, kind="stable")
+                ranks, fresh = ranks[order], fresh[order]
+                cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+                for rank, a, b in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+                    held = buckets.get(rank)
+                    if held is None:
+                        buckets[rank] = [fresh[a:b]]
+                        high = rank >> 8
+                        leaves[high] = leaves.get(high, 0) | 1 << (rank & 255)
+                        top |= 1 << high
+                    else:
+                        held.append(fresh[a:b])
+            if not top:
+                break
+            high = (top & -top).bit_length() - 1
+            leaf = leaves[high]
+            rank = high << 8 | (leaf & -leaf).bit_length() - 1
+            leaf &= leaf - 1
+            leaves[high] = leaf
+            if not leaf:
+                top &= top - 1
+            held = buckets.pop(rank)
+            at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            at = at[paired[at] == rank]  # the others are stale
+            fresh = at
+            if not len(at):
+                continue
+            middle = after[at]
+            marked[at] = True
+            if marked[middle].any():
+                kept, taken = [], -1
+                for i, j in zip(at.tolist(), middle.tolist(), strict=True):
+                    if i != taken:
+                        kept.append(i)
+                        taken = j
+                marked[at] = False
+                at = np.array(kept)
+                middle = after[at]
+            else:
+                marked[at] = False
+            stop = after[middle]
+            after[at] = stop
+            before[stop] = at
+            ids[at] = rank
+            alive[middle] = False
+            paired[middle] = -1
+            left = before[at]
+            left = left[left >= 0]
+            fresh = np.concatenate([at, left])
+            paired[fresh] = self.rank_pairs(ids[fresh], ids[after[fresh]])
+            fresh = fresh[paired[fresh] >= 0]
+        made = ids[:n][alive[:n]]
+        ends = np.cumsum(alive[:n])[stops]
+        raw, bounds = made.astype(np.int32).tobytes(), [0, *(ends * 4).tolist()]
+        rest = iter(zip(bounds, bounds[1:], strict=False))
+        return [raw[slice(*next(rest))] if w is None else np.int32(w).tobytes() for w in whole]
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token.
@@ -142,32 +233,45 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """A pre-token's ids as int32 bytes. The first FREE pre-tokens are kept, later ones from their second sight on (a bit table by
-    hash remembers the first, roughly), so the many that occur once take little room; when full, all are dropped. This changes
-    nothing but time."""
+    """Ids of pre-tokens as int32 bytes, by pre-token. The first FREE pre-tokens are kept, later ones from their second sight on (a
+    bit table by hash remembers the first, roughly), so the many that occur once take little room; when full, all are
+    dropped. This changes nothing but time."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
         self.once, self.marks = bytearray(ONCE_BITS >> 3), 0
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8")
-        out = np.array(self.vocabulary.merge(raw), np.int32).tobytes()
-        if len(raw) <= CACHED_BYTES:
-            at = hash(piece) & (ONCE_BITS - 1)
-            bit = 1 << (at & 7)
-            if len(self) < FREE or self.once[at >> 3] & bit:
-                if len(self) >= CACHE:
-                    self.clear()
-                self[piece] = out
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text; what is not known is merged first, all together."""
+        cut = [self.vocabulary.find(t) if t else () for t in texts]
+        missing = [p for p in set().union(*cut) if p not in self]
+        raw = [p.encode("utf-8") for p in missing]
+        self.update(zip(missing, self.vocabulary.merge_all(raw), strict=True))
+        out = [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        if len(self) > CACHE:
+            self.clear()
+            return out
+        room = FREE - len(self) + len(missing)
+        for piece, size in zip(missing, map(len, raw), strict=True):
+            if size > CACHED_BYTES or room <= 0 and not self._seen(piece):
+                del self[piece]
             else:
-                self.once[at >> 3] |= bit
-                self.marks += 1
-                if self.marks > ONCE_BITS >> 2:
-                    self.once, self.marks = bytearray(ONCE_BITS >> 3), 0
+                room -= 1
         return out
 
+    def _seen(self, piece: str) -> bool:
+        """Whether a pre-token was asked for before; from now on it was."""
+        at = hash(piece) & (ONCE_BITS - 1)
+        bit = 1 << (at & 7)
+        if self.once[at >> 3] & bit:
+            return True
+        self.once[at >> 3] |= bit
+        self.marks += 1
+        if self.marks > ONCE_BITS >> 2:
+            self.once, self.marks = bytearray(ONCE_BITS >> 3), 0
+        return False
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -185,39 +289,50 @@ def _pieces(path: str, pattern: str) -> _Pieces:
     return _Pieces(vocabulary(path, pattern))
 
 
+def _encoded(pieces: _Pieces, texts: list[str | None]) -> pa.ListArray:
+    rows = pieces.ids(texts)
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) >> 2 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+def _decoded(vocabulary_: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    token = vocabulary_.tokens.__getitem__
+    bounds, values = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
+    return pa.array([b"".join(map(token, values[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>) for every row of df, as an ordinary encoding without special tokens. Null is taken as empty: no
     ids. Repeated rows repeat; an empty table gives no rows."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         pieces = _pieces(path, pattern)
-        find, ids = pieces.vocabulary.find, pieces.__getitem__
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), _encoded(pieces, batch.column(1).to_pylist())], names=[key, "ids"])
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [b"".join(map(ids, find(t))) if t else b"" for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) >> 2 for r in rows], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(rows), np.int32))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[key, "ids"])
-
-        return work
-
-    return map_rows(df, [key, text], make, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>", rows=128)
+    return map_rows(df, [key, text], make, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>", rows=ROWS)
 
 
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, ids, decoded binary): the bytes that the ids stand for; null ids are taken as none."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        token = vocabulary(path, pattern).tokens.__getitem__
+        known = vocabulary(path, pattern)
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(known, batch.column(1))], names=[key, "ids", "decoded"])
+
+    return map_rows(df, [key, ids], make, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, decoded binary", rows=ROWS)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode, then decode the ids, in one pass, so that only one Python worker a task holds the vocabulary."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        pieces = _pieces(path, pattern)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column(1)
-            bounds = column.offsets.to_pylist()
-            values = column.values.to_numpy(zero_copy_only=False)
-            rows = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(bounds, bounds[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(rows, pa.binary())], names=[key, "ids", "decoded"])
+            ids = _encoded(pieces, batch.column(1).to_pylist())
+            return pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(pieces.vocabulary, ids)], names=[key, "ids", "decoded"])
 
         return work
 
-    return map_rows(df, [key, ids], make, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, decoded binary", rows=128)
+    return map_rows(df, [key, text], make, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, decoded binary", rows=ROWS)

@@ -213,7 +213,7 @@ def predict(df: DataFrame, model: Automaton, key: str = "doc_id", text: str = "t
     return map_rows(df, [key, text], make, f"`{key}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str = "lang", max_bits: float = 7.5) -> DataFrame:
+def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str = "lang", max_bits: float = 9.0) -> DataFrame:
     """The rows whose text is in a learned language, labelled with the predicted one; other columns as they are.
 
     Rejected are texts that are null or have no letter, and texts on whose letters the best language spends over `max_bits` a

@@ -51,7 +51,7 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    found = bpe_bitmap.decode(bpe_bitmap.encode(_table(spark, folder, "documents"), path, pattern), path, pattern)
+    found = bpe_bitmap.round_trip(_table(spark, folder, "documents"), path, pattern)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

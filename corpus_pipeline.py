@@ -40,7 +40,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, with the digest of what they decode to."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    found = bpe_bitmap.decode(bpe_bitmap.encode(docs, path, pattern), path, pattern)
+    found = bpe_bitmap.round_trip(docs, path, pattern)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
