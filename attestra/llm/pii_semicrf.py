@@ -313,13 +313,13 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray
     return out
 
 
-def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find(text: str | None, field: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind, then start. Null: none."""
     if not text:
         return [], []
     base = base_spans(text)
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted(base + added_spans(text, base, *trained()), key=lambda s: (order[s[0]], s[1]))
+    return base, sorted(base + added_spans(text, base, *(field or trained())), key=lambda s: (order[s[0]], s[1]))
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -330,10 +330,11 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, spans): arrays of (kind, start, end), code points, end exclusive, for every row of df. Null and empty texts
     have none; repeated rows repeat; an empty table gives no rows."""
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    sent = df.sparkSession.sparkContext.broadcast(trained())  # fitted once, on the driver: a few hundred weights
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [find(t) for t in batch.column(1).to_pylist()]
+            found = [find(t, sent.value) for t in batch.column(1).to_pylist()]
             named = [[[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found] for i in (0, 1)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(named[0], spans), pa.array(named[1], spans)], names=[key, "base", "spans"])
 
@@ -343,12 +344,12 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_rows(df, [key, text], make, f"`{key}` {df.schema[key].dataType.simpleString()}, base {entity}, spans {entity}")
 
 
-def masked(text: str | None) -> str | None:
+def masked(text: str | None, field: tuple[np.ndarray, np.ndarray] | None = None) -> str | None:
     """The text with each stretch of overlapping spans replaced by its first kind in capitals and brackets."""
     if not text:
         return text
     out, at, end = [], 0, -1
-    for kind, a, b in sorted(find(text)[1], key=lambda s: (s[1], -s[2])):
+    for kind, a, b in sorted(find(text, field)[1], key=lambda s: (s[1], -s[2])):
         if a < end:
             end = max(end, b)
             continue
@@ -363,12 +364,13 @@ def mask(df: DataFrame, text: str = "text", length: str | None = None) -> DataFr
     """df with personal data masked in its text column, other columns as they are; `length` names a column that holds the
     text's code points and follows it (null texts keep theirs)."""
     at, after = df.columns.index(text), df.columns.index(length) if length else None
+    sent = df.sparkSession.sparkContext.broadcast(trained())
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                new = [masked(t) for t in part.column(at).to_pylist()]
+                new = [masked(t, sent.value) for t in part.column(at).to_pylist()]
                 columns = list(part.columns)
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 if after is not None:
