@@ -261,3 +261,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[key, "url", "text"])
 
     return rows.mapInArrow(over, schema)
+
+
+#: The same rows in DuckDB, for pages whose main text is one `article` of paragraphs and headings with inline marks.
+SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h[1-6]|br|div|ul|li)(?:\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""

@@ -103,6 +103,7 @@ def oracle_sql() -> dict[str, str]:
     """Those that DuckDB can say; tests hold the others against brute force."""
     return {
         "op2_url_cascade": url_cascade.sql(RULES, BLOCKED),
+        "op3_style_tree": html_style_tree.SQL,
         "op5_repetition": quality_repetition.SQL,
         "op9_chat": chat_events.SQL,
         "op10_rendezvous": rendezvous.SQL,
