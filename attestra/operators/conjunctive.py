@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions.sizes import broadcast_if_small
+
 Goal = tuple[str, tuple[str, ...]]
 
 
@@ -66,7 +68,7 @@ def query(facts: DataFrame, goals: Sequence[Goal], outputs: Sequence[str], nogoo
     found = environments(facts, goals)
     if nogoods is not None:
         hit = F.size(F.array_except("nogood", "monomial")) == 0
-        found = found.join(F.broadcast(nogoods), hit, "left_anti")  # the set of nogoods is given with the program
+        found = found.join(broadcast_if_small(nogoods), hit, "left_anti")
     grouped = found.groupBy(*outputs).agg(F.array_sort(F.collect_set("monomial")).alias("monomials"))
     return grouped.withColumn("support", F.size("monomials"))
 

@@ -99,30 +99,38 @@ def union_best(lists: list[DataFrame], key: list[str], score: str = "score") ->
     return best.select(*key, "b.*")
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score): exact cosine of a small stated set of queries against all vectors, scanned once in blocks."""
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 8192) -> DataFrame:
+    """(query_id, key, score): exact cosine of stated queries against all vectors. Queries come in blocks of about so many rows, one scan of
+    the vectors for each, so what is sent to executors is bounded; a task keeps the k best of each query."""
     import numpy as np
 
-    asked = queries.select("query_id", vector).orderBy("query_id").collect()
-    ids = [r["query_id"] for r in asked]
-    matrix = np.array([r[vector] for r in asked], np.float64)
-    if len(ids):
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, asked_matrix = sent.value
-        for pdf in batches:
-            if not len(pdf) or not names:
-                continue
-            block = np.array(pdf[vector].tolist(), np.float64)
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-30)
-            sims = block @ asked_matrix.T
-            keys = pdf[key].to_numpy()
-            for j, name in enumerate(names):
-                top = np.lexsort((keys, -sims[:, j]))[:k]  # no other row of the block can be among the k best
-                yield pd.DataFrame({"query_id": name, key: keys[top], "score": sims[top, j]})
-
+    asked = queries.select("query_id", vector)
+    n = max(1, -(-asked.count() // block))
     kind = vectors.schema[key].dataType.simpleString()
-    near = vectors.select(key, vector).mapInPandas(score, f"query_id long, {key} {kind}, score double")
-    return top_k(near, k, ["query_id"], "score", key)
+
+    def near(part: list) -> DataFrame:
+        ids = [r["query_id"] for r in part]
+        matrix = np.array([r[vector] for r in part], np.float64)
+        if len(ids):
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, against = sent.value
+            for pdf in batches:
+                if not len(pdf) or not names:
+                    continue
+                rows = np.array(pdf[vector].tolist(), np.float64)
+                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
+                sims, keys = rows @ against.T, pdf[key].to_numpy()
+                for j, name in enumerate(names):
+                    top = np.lexsort((keys, -sims[:, j]))[:k]  # no other row of the batch can be among the k best
+                    yield pd.DataFrame({"query_id": name, key: keys[top], "score": sims[top, j]})
+
+        return vectors.select(key, vector).mapInPandas(score, f"query_id long, {key} {kind}, score double")
+
+    out = None
+    for b in range(n):
+        part = near(sorted(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).collect(), key=lambda r: r["query_id"]))
+        out = part if out is None else out.union(part)
+    return top_k(out, k, ["query_id"], "score", key)
