@@ -40,7 +40,7 @@ FIRST_SQL = _orbits() + ", f AS (SELECT scope, subject, min(event_time) AS t, ar
 
 def evidence_pack(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.turns(spark, folder).select("fact_id", "text")
-    found = evidence(docs, tables.query_texts(spark, folder).filter("query_id < 20"))
+    found = evidence(docs, tables.query_texts(spark, folder))
     return shown(found.withColumn("evidence", F.sha2("evidence", 256)))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import graphs, narrative, retrieval, strategy
+from attestra.plans import answer_queries, tables
 from attestra.plans.answer import evidence
 from attestra.plans.compiler import compile_question
 
@@ -58,6 +59,14 @@ def test_components_and_layers(spark):
     assert graphs.connected_components(edges.limit(0)).count() == 0
 
 
+def test_evidence_is_packed_for_every_item_of_the_benchmark(spark, folder):
+    asked = tables.query_texts(spark, folder)
+    found = {r.query_id: r.evidence for r in answer_queries.evidence_pack(spark, folder).collect()}
+    plain = evidence(tables.turns(spark, folder).select("fact_id", "text"), asked)
+    assert found == {r.query_id: r.e for r in plain.select("query_id", F.sha2("evidence", 256).alias("e")).collect()}
+    assert set(found) == {r.query_id for r in asked.collect()}
+
+
 def test_pairs_prefer_causes(spark):
     rows = [("g", 1, "s", "p", "a", 1, []), ("g", 2, "s", "p", "b", 2, [1]), ("g", 3, "s", "q", "c", 3, [])]
     df = spark.createDataFrame(rows, "g string, fact_id long, subject string, predicate string, value string, clock long, causes array<long>")
