@@ -34,11 +34,12 @@ TRIGGER = re.compile(r"[0-9@=]")
 TOKEN = re.compile(r"\S+")
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[A-Za-z0-9-]\.[A-Za-z0-9-]")  # is in a text if a DOMAIN is, in linear time
 # A match never begins inside a run of digits, so possessive runs find the same matches without going back.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-NOT_DIGIT = re.compile(r"[^0-9]")
+NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -114,22 +115,23 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, l
     """left: the two tokens before the segment, lower-cased."""
     whole = text[tokens[i][0] : tokens[j - 1][1]]
     a, b = trimmed(text, tokens[i][0], tokens[j - 1][1])
-    s = text[a:b][:128]
+    s = text[a:b]
     on = {"bias"}
     digits = NOT_DIGIT.sub("", s)
-    letters = sum(c.isalpha() for c in s)
+    letters = sum(map(str.isalpha, s))
     groups = re.split(r"[ ().:-]+", s.strip("+ ()"))
     sizes = tuple(map(len, groups))
     n = len(digits)
-    low = whole[:128].lower()
+    low = whole.lower()
+    names = (low.split("=", 1)[0], re.split(r"[&?;,/\s=]", low.rpartition("=")[0])[-1])  # before the first value, and of the last, which trimmed() keeps
     compact = re.sub(r"[ -]", "", s)
     rules = {
-        "more tokens": j - i > 1, "at sign": "@" in s, "at word": bool(re.search(r"[(\[]at[)\]]| at .* dot ", s.lower())), "dotted domain": bool(DOMAIN.search(s)) and letters > 3,
+        "more tokens": j - i > 1, "at sign": "@" in s, "at word": bool(re.search(r"[(\[]at[)\]]| at .* dot ", s.lower())), "dotted domain": bool(DOTTED.search(s)) and letters > 3,
         "four octets": bool(IP.fullmatch(s)) and all(int(p[:4]) <= 255 for p in s.split(".")), "colon groups": s.count(":") >= 4 and bool(re.fullmatch(r"[0-9A-Fa-f:]+", s)),
         "luhn 13-19": 13 <= n <= 19 and not letters and luhn(digits), "digits 13-19": 13 <= n <= 19 and not letters, "digits 9-15": 9 <= n <= 15 and not letters, "digits 7-8": n in (7, 8) and not letters, "digits under 7": 0 < n < 7 and not letters,
         "starts plus": s.startswith("+"), "parentheses": "(" in s and ")" in s, "shape 3-3-4": sizes[-3:] == (3, 3, 4) and not letters, "shape 3-2-4": sizes == (3, 2, 4) and not letters, "shape 4-4-4-4": sizes == (4, 4, 4, 4) and not letters,
         "country and check": bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", compact)), "letters and digits": letters > 2 and n > 2 and compact.isalnum(), "hex 16+": bool(re.fullmatch(r"[0-9a-fA-F]{16,}", s)) and letters > 0 and n > 0,
-        "long mixed 16+": len(s) >= 16 and j - i == 1 and letters > 4 and n > 1 and "@" not in s and "/" not in s and "." not in s, "key prefix": bool(re.match(r"(AKIA|ASIA|ghp_|sk-|xox)[A-Za-z0-9-]{10,}", s)), "keyword inside": "=" in low and any(k in low.split("=")[0] for k in KEYWORDS),
+        "long mixed 16+": len(s) >= 16 and j - i == 1 and letters > 4 and n > 1 and "@" not in s and "/" not in s and "." not in s, "key prefix": bool(re.match(r"(AKIA|ASIA|ghp_|sk-|xox)[A-Za-z0-9-]{10,}", s)), "keyword inside": "=" in low and any(k in name for name in names for k in KEYWORDS),
         "keyword left": any(k in left for k in KEYWORDS), "mail word left": bool(LEFT_MAIL & set(re.split(r"[\s:]+", left))), "phone word left": bool(LEFT_PHONE & set(re.split(r"[\s:.]+", left))), "account word left": bool(LEFT_ACCOUNT & set(re.split(r"[\s:]+", left))),
         "only digits": s.isdigit(), "one number": j - i == 1 and bool(re.fullmatch(r"[0-9][0-9.,%]*", s)), "year": bool(re.fullmatch(r"(19|20)[0-9]{2}", s)), "decimal": bool(re.fullmatch(r"[0-9]+[.,][0-9]+", s)), "date": bool(re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", s)),
         "plain word": s.isalpha(), "no digit": n == 0, "equals": "=" in whole, "20+ long": len(s) >= 20, "under 6 long": len(s) < 6, "even groups of 2": len(groups) >= 4 and set(sizes) == {2} and not letters, "separators mixed": len(set(re.findall(r"[ .-]", s))) > 1 and not letters,

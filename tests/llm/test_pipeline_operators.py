@@ -300,6 +300,13 @@ def test_added_spans_and_masks():
     assert pii_semicrf.masked("Chapter 3, 42 pages, 3.5% of 1,000 in 1999.") == "Chapter 3, 42 pages, 3.5% of 1,000 in 1999."
 
 
+def test_features_are_of_the_whole_segment():
+    url = f"https://host/{'a' * 130}?x=1&password=ab12cd34"
+    assert [(k, url[a:b]) for k, a, b in pii_semicrf.find(url)[1]] == [("secret", "ab12cd34")]
+    on = lambda s: {k for k, x in zip(pii_semicrf.FEATURES, pii_semicrf.segment_features(s, [(0, len(s))], 0, 1, ""), strict=True) if x}
+    assert "letters and digits" not in on("a1b2c3" * 30 + "/") and "only digits" not in on("9" * 128 + "abc")
+
+
 def test_personal_data_edges(docs):
     rows = [*EDGES, (8, "1" * 60000), (9, "a@" * 20000), (10, "x@y.zz " * 3)]
     found = {r.doc_id: r for r in pii_semicrf.detect(docs(rows)).collect()}
