@@ -2,7 +2,8 @@
 
 Base spans are those of four patterns with their checks (bounds, Luhn, digit counts). The field adds spans that the
 patterns miss: numbers without a plus, written-out addresses, account numbers, secrets. It works on blocks of neighbouring
-tokens that hold a digit, `@` or `=`; every other token can only be outside, so blocks are independent and the decoding
+tokens that hold a digit, `@` or `=`, or belong to an address written with (at) or dot, or to a value after a credential
+word and a colon. Every other token is fixed as outside, so blocks are independent, and with that the decoding
 of a whole text is exact. In a block, a segment is up to LONGEST tokens of one kind; features describe the whole segment (digit and
 letter counts, group shape, checksums, words to its left), never single tokens. Dynamic programming with this bound on entities finds
 the best boundaries and kinds jointly. Weights are fitted by exact conditional likelihood (forward-backward)
@@ -17,6 +18,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +30,7 @@ from attestra.llm.common import map_rows
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "secret")
-LONGEST = 6
+LONGEST = 9
 
 TRIGGER = re.compile(r"[0-9@=]")
 TOKEN = re.compile(r"\S+")
@@ -39,6 +41,12 @@ DOTTED = re.compile(r"[A-Za-z0-9-]\.[A-Za-z0-9-]")  # is in a text if a DOMAIN i
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Personal data without a digit, `@` or `=`: what stands for `@` in a written-out address and what follows it, and a name before a secret.
+AT = re.compile(r"(?i)(?<!\S)at(?!\S)|[(\[{<]\s*+at\s*+[)\]}>]")
+HOST = re.compile(r"(?i)\s*+[\w-]++(?:(?:\.|\s++dot\s++|\s*+[(\[{<]\s*+dot\s*+[)\]}>]\s*+)[\w-]++)++")
+SPELLED_DOT = re.compile(r"(?i)[(\[{<]?dot[)\]}>]?")
+SPELLED_LOCAL = re.compile(r"[\w.+%-]+")
+NAMED = re.compile(r"""(?i)(?<![^\W_])(?:password|passwort|passwd|pwd|passphrase|passcode|secret|token|api[ _-]?key)["']?(?:\s+(?:is|ist))?\s*+:\s*+""")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -90,18 +98,55 @@ KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key",
 FEATURES = (
     "bias", "more tokens", "at sign", "at word", "dotted domain", "four octets", "colon groups", "luhn 13-19", "digits 13-19", "digits 9-15", "digits 7-8",
     "digits under 7", "starts plus", "parentheses", "shape 3-3-4", "shape 3-2-4", "shape 4-4-4-4", "country and check", "mod 97", "letters and digits", "hex 16+", "long mixed 16+", "key prefix", "keyword inside", "keyword left", "mail word left",
-    "phone word left", "account word left", "only digits", "one number", "year", "decimal", "date", "plain word", "no digit", "equals", "20+ long", "under 6 long", "even groups of 2", "separators mixed",
+    "phone word left", "account word left", "only digits", "one number", "year", "decimal", "date", "plain word", "no digit", "equals", "named secret", "20+ long", "under 6 long", "even groups of 2", "separators mixed",
 )
+WRITTEN = re.compile(r"(?i)[\w.+%-]++(?:\s+dot\s+[\w.+%-]++)*+(?:\s+at\s+|\s*[(\[{<]\s*at\s*[)\]}>]\s*)" + HOST.pattern.removeprefix("(?i)"))
+NAMED_LEFT = re.compile(NAMED.pattern + r"[\"']?$")
 INDEX = {name: k for k, name in enumerate(FEATURES)}
 LEFT_MAIL, LEFT_PHONE, LEFT_ACCOUNT = {"mail", "email", "e-mail", "contact"}, {"phone", "tel", "call", "fax", "mobile", "telefon"}, {"iban", "ssn", "account", "passport", "konto"}
 EDGE = "\"'.,;:!?#$%&*<>[]{}|"
 
 
+def cues(text: str) -> list[tuple[int, int]]:
+    """Stretches without a digit, `@` or `=` that may be personal data: written-out addresses, and what follows a credential's name
+    and colon (to the closing quote, or one token)."""
+    out, low = [], text.lower()
+    for m in AT.finditer(text) if "dot" in low or any(c in low for c in "([{<") else ():
+        host = HOST.match(text, m.end())
+        if not host or m[0].isalpha() and not re.search(r"(?i)\bdot\b", host[0]):
+            continue
+        start = m.start()
+        for turn in range(LONGEST):
+            # the token before, which for every second turn must be a dot
+            b = start
+            while b > 0 and text[b - 1].isspace():
+                b -= 1
+            a = b
+            while a > 0 and b - a < 256 and not text[a - 1].isspace():
+                a -= 1
+            if not (SPELLED_DOT.fullmatch(text, a, b) if turn % 2 else a < b):
+                break
+            start = a
+        if start < m.start():
+            out.append((start, host.end()))
+    for m in NAMED.finditer(text) if ":" in low and any(k in low for k in ("pass", "pwd", "secret", "token", "api")) else ():
+        a = m.end()
+        quote = text[a : a + 1] if text[a : a + 1] in ("'", '"') else ""
+        close = text.find(quote, a + 1, a + 256) if quote else -1
+        if close < 0 and (value := TOKEN.match(text, a)):
+            close = value.end()
+        if close > a:
+            out.append((a, close))
+    return out
+
+
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """The segment without punctuation at its ends, and without a name and `=` before a value."""
+    """The segment without punctuation at its ends, and without a name and `=`, or a credential's name and colon, before a value."""
     cut = text.rfind("=", start, end)
     if cut >= 0 and cut + 1 < end:
         start = cut + 1
+    elif (m := NAMED.search(text, start, end)) and m.end() < end:
+        start = m.end()
     while start < end and text[start] in EDGE:
         start += 1
     while end > start and text[end - 1] in EDGE:
@@ -126,7 +171,7 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, l
     names = (low.split("=", 1)[0], re.split(r"[&?;,/\s=]", low.rpartition("=")[0])[-1])  # before the first value, and of the last, which trimmed() keeps
     compact = re.sub(r"[ -]", "", s)
     rules = {
-        "more tokens": j - i > 1, "at sign": "@" in s, "at word": bool(re.search(r"[(\[]at[)\]]| at .* dot ", s.lower())), "dotted domain": bool(DOTTED.search(s)) and letters > 3,
+        "more tokens": j - i > 1, "at sign": "@" in s, "at word": bool(WRITTEN.fullmatch(s)), "dotted domain": bool(DOTTED.search(s)) and letters > 3,
         "four octets": bool(IP.fullmatch(s)) and all(int(p[:4]) <= 255 for p in s.split(".")), "colon groups": s.count(":") >= 4 and bool(re.fullmatch(r"[0-9A-Fa-f:]+", s)),
         "luhn 13-19": 13 <= n <= 19 and not letters and luhn(digits), "digits 13-19": 13 <= n <= 19 and not letters, "digits 9-15": 9 <= n <= 15 and not letters, "digits 7-8": n in (7, 8) and not letters, "digits under 7": 0 < n < 7 and not letters,
         "starts plus": s.startswith("+"), "parentheses": "(" in s and ")" in s, "shape 3-3-4": sizes[-3:] == (3, 3, 4) and not letters, "shape 3-2-4": sizes == (3, 2, 4) and not letters, "shape 4-4-4-4": sizes == (4, 4, 4, 4) and not letters,
@@ -134,7 +179,7 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, l
         "long mixed 16+": len(s) >= 16 and j - i == 1 and letters > 4 and n > 1 and "@" not in s and "/" not in s and "." not in s, "key prefix": bool(re.match(r"(AKIA|ASIA|ghp_|sk-|xox)[A-Za-z0-9-]{10,}", s)), "keyword inside": "=" in low and any(k in name for name in names for k in KEYWORDS),
         "keyword left": any(k in left for k in KEYWORDS), "mail word left": bool(LEFT_MAIL & set(re.split(r"[\s:]+", left))), "phone word left": bool(LEFT_PHONE & set(re.split(r"[\s:.]+", left))), "account word left": bool(LEFT_ACCOUNT & set(re.split(r"[\s:]+", left))),
         "only digits": s.isdigit(), "one number": j - i == 1 and bool(re.fullmatch(r"[0-9][0-9.,%]*", s)), "year": bool(re.fullmatch(r"(19|20)[0-9]{2}", s)), "decimal": bool(re.fullmatch(r"[0-9]+[.,][0-9]+", s)), "date": bool(re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", s)),
-        "plain word": s.isalpha(), "no digit": n == 0, "equals": "=" in whole, "20+ long": len(s) >= 20, "under 6 long": len(s) < 6, "even groups of 2": len(groups) >= 4 and set(sizes) == {2} and not letters, "separators mixed": len(set(re.findall(r"[ .-]", s))) > 1 and not letters,
+        "plain word": s.isalpha(), "no digit": n == 0, "equals": "=" in whole, "named secret": bool((m := NAMED.search(whole)) and m.end() < len(whole) or NAMED_LEFT.search(left)), "20+ long": len(s) >= 20, "under 6 long": len(s) < 6, "even groups of 2": len(groups) >= 4 and set(sizes) == {2} and not letters, "separators mixed": len(set(re.findall(r"[ .-]", s))) > 1 and not letters,
     }
     if rules["country and check"]:
         moved = compact[4:] + compact[:4]
@@ -228,20 +273,31 @@ def _grammar(rng: random.Random) -> tuple[list[str], list[tuple[int, int, str]]]
         full = f"{head}{check:02d}{body}"
         return full if rng.random() < 0.5 else " ".join(full[k : k + 4] for k in range(0, len(full), 4))
 
+    def spelled() -> str:
+        at = rng.choice([" at ", " (at) ", " [at] ", "(at)", "[at]"])
+        dot = " dot " if at == " at " else rng.choice([" dot ", " (dot) ", " [dot] ", ".", "[dot]"])
+        return f"{w(rng.randint(2, 8))}{rng.choice(['', '', ' dot ' + w(5), '.' + w(3)])}{at}{w(6)}{dot}{rng.choice(['com', 'org', 'example' + dot + 'net'])}"
+
     made = {
-        "email": lambda: f"{w(rng.randint(2, 8))}{rng.choice(['', '.', '_'])}{rng.choice([w(3), d(2)])}@{w(6)}{rng.choice(['', d(1)])}.{rng.choice(['com', 'org', 'example.net'])}",
+        "email": lambda: spelled() if rng.random() < 0.3 else f"{w(rng.randint(2, 8))}{rng.choice(['', '.', '_'])}{rng.choice([w(3), d(2)])}@{w(6)}{rng.choice(['', d(1)])}.{rng.choice(['com', 'org', 'example.net'])}",
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)) if rng.random() < 0.7 else ":".join(h(4) for _ in range(8)),
         "card": card,
         "phone": lambda: rng.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(4)} {d(3)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}"]),
         "account": lambda: iban() if rng.random() < 0.6 else f"{d(3)}-{d(2)}-{d(4)}",
         "secret": lambda: rng.choice([f"password={h(rng.randint(8, 24))}", f'token="{h(32)}"', f"AKIA{''.join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16))}", f"api_key={w(6)}{d(8)}{w(6)}", h(40), f"{w(5)}{d(5)}{w(5)}{d(5)}"]),
-        "outside": lambda: rng.choice([d(rng.randint(1, 6)), str(rng.randint(1900, 2040)), f"{d(1)}.{d(1)}", f"{d(2)}%", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"{w(3)}={w(4)}", f"a={d(2)}", f"{d(1)},{d(3)}", "=", "@", f"@{w(6)}", f"{w(4)}{d(1)}", f"{d(1)}x{d(1)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(3)} {d(3)}", d(8), d(11), d(16), f"{w(8)}={d(4)}"]),
+        "outside": lambda: rng.choice([d(rng.randint(1, 6)), str(rng.randint(1900, 2040)), f"{d(1)}.{d(1)}", f"{d(2)}%", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"{w(3)}={w(4)}", f"a={d(2)}", f"{d(1)},{d(3)}", "=", "@", f"@{w(6)}", f"{w(4)}{d(1)}", f"{d(1)}x{d(1)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(3)} {d(3)}", d(8), d(11), d(16), f"{w(8)}={d(4)}", w(6), f"{w(5)}: {w(7)}", f"{w(3)} at {w(6)}", f"{w(4)} dot {w(5)}"]),
     }
     tokens: list[str] = []
     spans: list[tuple[int, int, str]] = []
     for _ in range(rng.choice([1, 1, 1, 2, 2, 3])):
         kind = rng.choice([*KINDS, "outside", "outside", "outside"])
-        part = made[kind]() + rng.choice(["", "", "", ".", ",", "###"])
+        part = made[kind]()
+        if kind == "secret" and rng.random() < 0.3:
+            name = rng.choice(["password:", "Password:", "passwd:", "pwd:", "secret:", "token:", "api_key:", "passphrase:"])
+            glued = rng.random() < 0.3
+            tokens += [] if glued else [name]
+            part = (name if glued else "") + rng.choice([w(rng.randint(6, 14)), f'"{w(8)}"', f"{w(5)}-{w(6)}", f'"{w(4)} {w(6)} {w(5)}"'])
+        part += rng.choice(["", "", "", ".", ",", "###"])
         size = len(part.split())
         if kind != "outside":
             spans.append((len(tokens), len(tokens) + size, kind))
@@ -291,10 +347,17 @@ def trained(seed: int = 7, blocks: int = 700, epochs: int = 6) -> tuple[np.ndarr
 
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray, moves: np.ndarray) -> list[tuple[str, int, int]]:
     """The field's segments that overlap no base span."""
-    if not TRIGGER.search(text):
+    open_ = cues(text)
+    if not open_ and not TRIGGER.search(text):
         return []
     tokens = [m.span() for m in TOKEN.finditer(text)]
     hot = [bool(TRIGGER.search(text, a, b)) for a, b in tokens]
+    ends = [b for _, b in tokens]
+    for a, b in open_:
+        for k in range(bisect_right(ends, a), len(tokens)):
+            if tokens[k][0] >= b:
+                break
+            hot[k] = True
     taken = sorted((a, b) for _, a, b in base)
     out: list[tuple[str, int, int]] = []
     at = 0

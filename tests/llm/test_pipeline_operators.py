@@ -307,6 +307,19 @@ def test_features_are_of_the_whole_segment():
     assert "letters and digits" not in on("a1b2c3" * 30 + "/") and "only digits" not in on("9" * 128 + "abc")
 
 
+def test_personal_data_without_a_digit_or_sign():
+    for text, want in (
+        ("Write to john at example dot com today", [("email", "john at example dot com")]),
+        ("or john dot smith at mail dot example dot com.", [("email", "john dot smith at mail dot example dot com")]),
+        ("Or john (at) example.com or jane[at]corp[dot]org", [("email", "john (at) example.com"), ("email", "jane[at]corp[dot]org")]),
+        ("login with password: correcthorse please", [("secret", "correcthorse")]),
+        ("password:correcthorse", [("secret", "correcthorse")]),
+        ("we met at noon, at home (at last), with a token of thanks; connect the dots", []),
+    ):
+        assert [(k, text[a:b]) for k, a, b in pii_semicrf.find(text)[1]] == want
+    assert pii_semicrf.masked("password: correcthorse") == "password: [SECRET]"
+
+
 def test_personal_data_edges(docs):
     rows = [*EDGES, (8, "1" * 60000), (9, "a@" * 20000), (10, "x@y.zz " * 3)]
     found = {r.doc_id: r for r in pii_semicrf.detect(docs(rows)).collect()}
