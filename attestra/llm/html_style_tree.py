@@ -12,7 +12,7 @@ comes from entropy over the m pages that have it:
 A branch whose importance falls below the threshold on enough pages is removed from each page of its host. What names itself is
 not left to statistics, which a host of few pages does not have: navigation, headers, footers, sidebars, notices, adverts,
 forms, comments and the like are removed by tag, role and class, and the insides of `article` or `main` are never removed by entropy,
-since a site may well repeat an article. On a page with an article, only the article is main text.
+since a site may well repeat an article. On a page with an article, only the article is main text: there the importance decides nothing.
 
 Parsing follows the HTML rules that matter for text: raw text elements, comments, quoted attributes, omitted and stray end tags.
 """
