@@ -213,11 +213,12 @@ def predict(df: DataFrame, model: Automaton, key: str = "doc_id", text: str = "t
     return map_rows(df, [key, text], make, f"`{key}` {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str = "lang", max_bits: float = 9.0) -> DataFrame:
+def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str = "lang", max_bits: float = 9.0, long_bits: float = 7.5, long_bytes: int = 60) -> DataFrame:
     """The rows whose text is in a learned language, labelled with the predicted one; other columns as they are.
 
     Rejected are texts that are null or have no letter, and texts on whose letters the best language spends over `max_bits` a
-    byte: not even common bytes are known then. With nothing learned there is nothing to judge by, and only texts without a letter go.
+    byte: not even common bytes are known then. From `long_bytes` coded bytes on, where the rate says more, it is over `long_bits`:
+    texts of learned languages cost under 6.6 bits there and below (README), and 8 bits are those of no knowledge. With nothing learned there is nothing to judge by, and only texts without a letter go.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     at, named = df.columns.index(text), df.columns.index(label)
@@ -232,7 +233,7 @@ def recognised(df: DataFrame, model: Automaton, text: str = "text", label: str =
                     encoded = [_encoded(t) if t else b"" for t in texts]
                     lengths = code_lengths(known, encoded)
                     best = lengths.argmin(1)
-                    keep = [t is not None and row.min() <= max_bits * UNIT * len(raw) for t, row, raw in zip(texts, lengths, encoded, strict=True)]
+                    keep = [t is not None and row.min() <= (long_bits if len(raw) >= long_bytes else max_bits) * UNIT * len(raw) for t, row, raw in zip(texts, lengths, encoded, strict=True)]
                     columns = list(part.columns)
                     columns[named] = pa.array([known.languages[i] for i in best], part.schema.field(named).type)
                     part = pa.RecordBatch.from_arrays(columns, schema=part.schema)

@@ -91,6 +91,17 @@ def test_language_edges(docs):
     assert language_ppm.recognised(docs([(1, "x"), (2, "1")]), nothing).count() == 1
 
 
+def test_an_unlearned_latin_text_is_rejected_and_short_clean_ones_stay(spark, folder, docs):
+    found = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_ppm.learn(found)
+    other = "Quisque tempor incididunt ut labore et dolore magna aliqua, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure"
+    rate = min(language_ppm.code_lengths(model, [language_ppm._encoded(other)])[0]) / language_ppm.UNIT / len(language_ppm._encoded(other))
+    assert 8 < rate < 9
+    assert language_ppm.recognised(docs([(1, other)]), model).count() == 0
+    clean = found.filter("length(text) < 200 and text rlike '[a-z]'")
+    assert language_ppm.recognised(clean, model).count() == clean.count() > 0
+
+
 def test_held_out_accuracy(spark, folder):
     found = queries.op6_language(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id").filter("held_out")
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in found.select("doc_id").collect())
