@@ -51,7 +51,7 @@ def parse_rule(line: str) -> Rule:
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; then up to `?`, `#` or the end. Else empty."""
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring(u, instr(u, '://') + 3)")).otherwise(F.lit(""))
+    after = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 

@@ -57,7 +57,9 @@ def test_url_edges(spark):
 
 
 def main_text(source):
-    return html_style_tree._main_text(html_style_tree.Page(source), frozenset())
+    """By parsing alone, without a tree."""
+    blocks = [(text, main) for _, text, main, boiler in html_style_tree.Page(source).blocks if not boiler]
+    return " ".join(text for text, main in blocks if main or not any(m for _, m in blocks))
 
 
 @pytest.mark.parametrize(
@@ -74,6 +76,11 @@ def main_text(source):
         ("<article><p>cut off <b>here", "cut off here"),
         ("<article><p>a</p><!-- open", "a"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1 2 3"),
+        ("<article><table><tr><td>1<table><tr><td>2</table>3<td>4</table></article>", "1 2 3 4"),
+        ("<article><p data-id='footer'>a</p><p title='a hidden gem'>b</p><p style='x hidden '>c</p></article>", "a b c"),
+        ("<article><figure class='related-work'>a</figure><p id=legal>b</p><div class='related-posts'>x</div><div id=comments>y</div></article>", "a b"),
+        ("<div>" * 3000 + "<article>start <span>" + "<span>" * 1200 + " middle <p>more</p> end</article>", "start middle more end"),
+        ("<b>" + "<div>" * 3000 + "<p>a</b></b></b>b</p>", "ab"),
     ],
 )
 def test_main_text(source, text):
@@ -91,20 +98,48 @@ def test_pages_give_their_whole_article(spark, folder):
         assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text)
 
 
+def pages_of(spark, sources, host="h.example"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", h, "a", 1) for i, h in enumerate(sources)], "page_id long, url string, html string, path string, rid int")
+
+
+def texts(df, **options):
+    return {r.page_id: r.text for r in html_style_tree.extract(df, **options).collect()}
+
+
 def test_what_a_site_repeats_goes_and_what_it_varies_stays(spark):
-    page = lambda i: f"<div class=x1>Same line on all pages</div><div class=x2><p>story {i} tells {i * 7}</p></div>"
-    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i), "a") for i in range(20)], "page_id long, url string, html string, path string")
-    assert {r.text for r in html_style_tree.extract(df).collect()} == {f"story {i} tells {i * 7}" for i in range(20)}
+    df = pages_of(spark, [f"<div class=x1>Same line on all pages</div><div class=x2><p>story {i} tells {i * 7}</p></div>" for i in range(20)])
+    assert set(texts(df).values()) == {f"story {i} tells {i * 7}" for i in range(20)}
     tree = {r.path: r for r in html_style_tree.style_tree(df).collect()}
     assert tree["/div.x1"].importance == pytest.approx(0.0) and tree["/div.x2/p"].importance == pytest.approx(1.0)
-    few = html_style_tree.extract(df.filter("page_id < 3")).first().text
-    assert few.startswith("Same line")
+    assert (tree["/div.x1"].pages, tree["/div.x2"].best) == (20, pytest.approx(1.0))
+    assert set(texts(df, threshold=-1.0).values()) == {f"Same line on all pages story {i} tells {i * 7}" for i in range(20)}
+    assert texts(df.filter("page_id < 3"))[0].startswith("Same line")
+
+
+def test_the_tree_decides_inside_articles_too(spark):
+    # a line that stands under its own node, one among the paragraphs, and an article that is a teaser
+    inside = pages_of(spark, [f"<article><h1>T {i}</h1><div class=q>Read our terms</div><p>All rights kept.</p><p>story {i}</p></article>" for i in range(40)])
+    assert texts(inside) == {i: f"T {i} story {i}" for i in range(40)}
+    assert texts(inside, threshold=-1.0)[3] == "T 3 Read our terms All rights kept. story 3"
+    teaser = pages_of(spark, [f"<article><p>Ten things to buy</p></article><div class=z><p>news {i}</p></div>" for i in range(12)])
+    assert texts(teaser) == {i: f"news {i}" for i in range(12)}
+    assert set(texts(teaser, threshold=-1.0).values()) == {"Ten things to buy"}
+
+
+def test_the_tree_leaves_no_page_empty_and_counts_hosts_apart(spark):
+    same = pages_of(spark, ["<article><p>one article</p></article>"] * 12)
+    other = pages_of(spark, [f"<article><p>one article</p><p>and {i}</p></article>" for i in range(5)], "other.example")
+    found = html_style_tree.extract(same.union(other)).collect()
+    assert sorted(r.text for r in found) == sorted(["one article"] * 12 + [f"one article and {i}" for i in range(5)])
+    # hosts are lower-cased for A-Z alone, and urls without :// have the empty one
+    mixed = spark.createDataFrame([(i, u, f"<div class=a>same</div><p>{i}</p>") for i in range(8) for u in ("http://A.example/x", "http://a.EXAMPLE?y")], "page_id long, url string, html string")
+    assert {r.text for r in html_style_tree.extract(mixed).collect()} == set(map(str, range(8)))
 
 
 def test_html_edges(spark):
-    df = spark.createDataFrame([(1, None, None), (2, "http://a", ""), (2, "http://a", ""), (3, "b", "<p>" + "word " * 50000), (4, "c", "<div>" * 20000 + "deep")], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, None, None), (2, "http://a", ""), (2, "http://a", ""), (3, "b", "<p>" + "word " * 50000), (4, "c", "<div>" * 20000 + "deep"), (5, "c", "<p>a</p>" * 30000)], "page_id long, url string, html string")
     found = [(r.page_id, len(r.text)) for r in html_style_tree.extract(df).collect()]
-    assert sorted(found) == [(1, 0), (2, 0), (2, 0), (3, 249999), (4, 4)]
+    assert sorted(found) == [(1, 0), (2, 0), (2, 0), (3, 249999), (4, 4), (5, 59999)]
     assert html_style_tree.extract(df.limit(0)).count() == 0
 
 
