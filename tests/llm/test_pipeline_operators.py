@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -154,20 +155,65 @@ def test_near_duplicates_match_brute_force(spark, folder):
     assert [found[r.doc_id].component_id for r in rows] == [least[x] for x in roots]
 
 
-@pytest.mark.parametrize("n", [20, 400])
-def test_links_keep_every_component_of_dense_lists(spark, n):
+@pytest.mark.parametrize(("n", "block"), [(20, 4096), (400, 4096), (400, 64)])
+def test_links_keep_every_component_of_dense_lists(spark, n, block):
     rng = np.random.default_rng(n)
     centres = rng.integers(0, 2**63, 3, dtype=np.uint64)
     x = np.concatenate([c ^ np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, False).astype(np.uint64)) for k in rng.integers(1, 6, n)], np.uint64) for c in centres])
     x = np.unique(x)
-    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    linked = simhash_bytes.connected_components(simhash_bytes.links(df)).collect()
+    df = spark.createDataFrame([(int(v), [int(v)]) for v in x.view(np.int64)], "node long, fps array<long>")
+    linked = simhash_bytes.connected_components(simhash_bytes.links(df, block)).collect()
     of = {r.node: r.root for r in linked}
     found = [of.get(int(v), int(v)) for v in x.view(np.int64)]
     brute = components([int(v) for v in x])
     assert len(set(zip(found, brute, strict=True))) == len(set(found)) == len(set(brute))
 
 
+def test_the_tally_rejects_pairs_before_their_bits_are_compared():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    x[1::2] = (x[::2] & np.uint64(0xFFFFFF)) | (x[1::2] & ~np.uint64(0xFFFFFF))  # neighbours share three bytes
+    x[2::50] = x[::50] ^ np.uint64(0x0101010100000000)  # four bits in four bytes
+    keys = simhash_bytes.codes(x, 0)
+    met = {}
+    for i, row in enumerate(keys.tolist()):
+        for k in row:
+            met.setdefault(k, []).append(i)
+    pairs = {(i, j) for v in met.values() for i in v for j in v if i < j}
+    a, b = (x[list(c)] for c in zip(*pairs, strict=True))
+    shared = simhash_bytes.tally(a ^ b)
+    assert (shared == [sum(int(p) >> 8 * k & 255 == int(q) >> 8 * k & 255 for k in range(8)) for p, q in zip(a, b, strict=True)]).all()
+    retained, kept = shared >= 4, simhash_bytes.linked(a, b)
+    assert len(pairs) > 2 * retained.sum() and kept.sum() == 80 and not (kept & ~retained).any()
+    assert (kept == (np.bitwise_count(a ^ b) <= 4)).all()
+
+
+def test_a_list_of_200000_fingerprints_is_cut(spark):
+    rng = np.random.default_rng(4)
+    x = np.unique((rng.integers(0, 2**62, 200_000, dtype=np.uint64) << np.uint64(24)) | np.uint64(0xABCDEF))
+    x[1] = x[0] ^ np.uint64(1 << 60)
+    df = spark.createDataFrame(pd.DataFrame({"node": x.view(np.int64)})).selectExpr("node", "array(node) AS fps")
+    cut, blocks = simhash_bytes.long_lists(df)
+    assert len(cut) == 1 and 40 < blocks[0] < 60 and not len(simhash_bytes.long_lists(df, split=cut)[0])
+    found = {tuple(sorted((r.a, r.b))) for r in simhash_bytes.links(df).collect()}
+    ends = {tuple(sorted((int(a), int(b)))) for a, b in (x[:2].view(np.int64),)}
+    assert ends <= found and all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in found)
+
+
+def test_more_draws_find_more_near_copies_and_no_unlike_texts(docs):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [[word() for _ in range(120)] for _ in range(40)]
+    copies = [[w if k not in (20, 80) else word() for k, w in enumerate(t)] for t in texts]
+    df = docs([(i, " ".join(t)) for i, t in enumerate(texts + copies)])
+    caught = []
+    for draws in (1, 4):
+        found = {r.doc_id: r.component_id for r in simhash_bytes.near_duplicates(df, words=2, draws=draws).collect()}
+        assert all(found[i] in (i, i - 40) for i in found)
+        caught.append(sum(found[i + 40] == i for i in range(40)))
+    assert 1.5 * caught[0] < caught[1] and caught[1] >= 30
+
+
 def test_near_duplicate_edges(docs):
     rows = simhash_bytes.near_duplicates(docs(EDGES)).collect()
     assert len(rows) == len(EDGES)
