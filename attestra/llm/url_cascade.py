@@ -4,12 +4,15 @@ A rule is a host and a path prefix; it fits its host and all subdomains. A url's
 with those prefixes of its path that are as long as some listed path. The key universe is every candidate key of the
 corpus. Level 1 of the cascade encodes the listed keys; level 2 the universe's false positives of level 1; level 3 the listed
 keys that level 2 lets through, and so on until a level lets nothing wrong through. Membership of any key of the universe is then exact:
-the first level that does not hold the key decides. Urls are judged by the filters alone, without a join.
+the first level that does not hold the key decides. Two more cascades, whose universe is the listed keys, say which of them are rules and
+which rules block. Urls are judged by the filters alone: neither a join nor the list itself is at hand, and the rule that a
+url reports is its own candidate key.
 
 Bits are set by partial bit_or aggregation, so neither the universe nor a level's keys ever meet in one place; what is
 sent to executors is the filters. Level 1's error rate is the ratio of listed keys to urls, so the false positives
-that level 2 encodes are about as many as the listed keys: the filters grow with the list, not with the corpus, and their
-size is checked.
+that level 2 encodes are about as many as the listed keys: the filters grow with the list, not with the corpus. Where a level would be
+larger than `max_bytes`, keys are divided by their hash and each part has cascades of its own; urls pass them one part after another, so
+a task holds one part's filters however long the list is.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm.common import map_rows, materialize
 
-MAX_FILTER_BYTES, MAX_LEVELS = 64 << 20, 40
+MAX_FILTER_BYTES, MAX_LEVELS = 64 << 20, 60
 
 
 @dataclass(frozen=True)
@@ -132,8 +136,6 @@ class Cascade:
 def _fill(keys: DataFrame, n: int, rate: float, level: int) -> Level:
     """keys: column h, distinct. Sets bits on the executors and brings home the words that are not zero."""
     bits, probes = shape(n, rate)
-    if bits // 8 > MAX_FILTER_BYTES:
-        raise ValueError(f"a level of {bits // 8} bytes is more than {MAX_FILTER_BYTES}; divide the list into several cascades by host")
     empty = Level(bits, probes, np.zeros(0, np.uint64))
 
     def over(batches):
@@ -149,6 +151,10 @@ def _fill(keys: DataFrame, n: int, rate: float, level: int) -> Level:
     return Level(bits, probes, words)
 
 
+def _rate(n: int, urls: int) -> float:
+    return min(0.5, max(1e-9, n / max(urls, 1)))
+
+
 def build(listed: DataFrame, universe: DataFrame, urls: int) -> Cascade:
     """listed, universe: tables of key hashes (column h); repeats do no harm, and the universe may hold listed keys.
 
@@ -161,7 +167,7 @@ def build(listed: DataFrame, universe: DataFrame, urls: int) -> Cascade:
         return Cascade((Level(0, 0, np.zeros(0, np.uint64)),))
     levels: list[Level] = []
     inside, outside = listed, universe.select("h")
-    rate = min(0.5, max(1e-9, n / max(urls, 1)))
+    rate = _rate(n, urls)
     for k in range(MAX_LEVELS):
         source, other = (inside, outside) if k % 2 == 0 else (outside, inside)
         levels.append(_fill(source, n if k == 0 else source.count(), rate if k == 0 else 0.5, k))
@@ -173,8 +179,9 @@ def build(listed: DataFrame, universe: DataFrame, urls: int) -> Cascade:
                 yield batch.filter(pa.array(sent.value.holds(*_pair(keys, k))))
 
         wrong = other.mapInArrow(passing, "h long").distinct()
-        if k == 0:
-            wrong = wrong.join(listed, "h", "left_anti")
+        if k == 0:  # the universe may hold listed keys
+            both = wrong.select("h", F.lit(False).alias("is")).union(listed.select("h", F.lit(True)))
+            wrong = both.groupBy("h").agg(F.max("is").alias("is")).filter(~F.col("is")).select("h")
         wrong = materialize(wrong, f"level{k}")
         if wrong.isEmpty():
             return Cascade(tuple(levels))
@@ -185,19 +192,37 @@ def build(listed: DataFrame, universe: DataFrame, urls: int) -> Cascade:
     raise ValueError("two keys share a hash; choose another seed")
 
 
-def filter_urls(df: DataFrame, rules: Sequence[str], blocked: Sequence[str] = (), key: str = "page_id", url: str = "url") -> DataFrame:
+@dataclass(frozen=True)
+class Filters:
+    """One part's cascades: listed keys in the universe, rules among the listed, and blocking ones among the rules."""
+
+    listed: Cascade
+    rules: Cascade
+    blocking: Cascade
+
+
+def _keys(lines: DataFrame | Sequence[str], spark: SparkSession) -> DataFrame:
+    """(host, path) of `host/path` keys, given as strings or as a table with a column `key`."""
+    if not isinstance(lines, DataFrame):
+        lines = spark.createDataFrame([(x,) for x in lines], "key string")
+    cut = F.instr("key", "/")
+    return lines.filter(cut > 0).select(F.substr("key", F.lit(1), cut - 1).alias("host"), F.substr("key", cut).alias("path"))
+
+
+def filter_urls(df: DataFrame, rules: Sequence[str], blocked: DataFrame | Sequence[str] = (), key: str = "page_id", url: str = "url", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """(key, host, path, rule, verdict) for every row of df.
 
-    rules: `allow host/path` or `block host/path` lines; the longest that fits decides. blocked: further host/path keys that
-    block where no rule fits. Everything else is allowed, null urls and urls without `://` included (empty host and path).
-    Repeated rows repeat; an empty table gives no rows; two rules with one key are an error.
+    rules: `allow host/path` or `block host/path` lines; the longest that fits decides (of equally long ones the first in order of text).
+    blocked: further host/path keys, as strings or as a table of any size with a column `key`, that block where no rule fits.
+    Everything else is allowed, null urls and urls without `://` included (empty host and path). Urls of any length are read whole,
+    repeated rows repeat, further columns are not read, whatever their names; an empty table gives no rows; two rules with one key are an error.
     """
     parsed = [parse_rule(r) for r in rules]
-    lists = [*parsed, *(parse_rule(f"block {b}") for b in blocked)]
     if len({r.key for r in parsed}) < len(parsed):
         raise ValueError("two rules with one key")
-    sizes = sorted({len(r.path) for r in lists})
     spark = df.sparkSession
+    more = _keys(blocked, spark)
+    sizes = sorted({len(r.path) for r in parsed} | {r["n"] for r in more.select(F.char_length("path").alias("n")).distinct().collect()})
     rows = df.select(F.col(key).alias("k"), F.col(url).alias("u"))
     host, path = host_and_path(F.col("u"))
     rows = rows.select("k", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
@@ -211,29 +236,48 @@ def filter_urls(df: DataFrame, rules: Sequence[str], blocked: Sequence[str] = ()
             found = {key_hash(a + b) for h, p in known for a, b in candidates(h, p, sizes)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["h"])
 
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([key_hash(k) for k in batch.column(0).to_pylist()], pa.int64())], names=["h"])
+
     universe = rows.select("host", "path").mapInArrow(keys_of, "h long")
-    listed = spark.createDataFrame([(key_hash(r.key),) for r in lists], "h long")
-    sent = spark.sparkContext.broadcast((build(listed, universe, rows.count()), {r.key: r.verdict for r in parsed}, {r.key for r in lists}))
+    named = spark.createDataFrame([(key_hash(r.key), r.verdict == "block") for r in parsed], "h long, block boolean")
+    listed = materialize(named.select("h").union(more.select(F.concat("host", "path").alias("key")).mapInArrow(hashed, "h long")).distinct(), "list")
+    n, urls = listed.count(), rows.count()
+    parts = max(1, -(-shape(n, _rate(n, urls))[0] // (8 * max_bytes)))
+    found = rows.withColumn("fits", F.array().cast("array<struct<n:int,key:string,named:boolean,block:boolean>>"))
+    for part in range(parts):
+        own = lambda x: x.filter(F.pmod(F.shiftright("h", 20), F.lit(parts)) == part) if parts > 1 else x  # noqa: B023, E731
+        made = Filters(build(own(listed), own(universe), urls), build(own(named), own(listed), n), build(own(named).filter("block"), own(named), len(parsed)))
+        found = _judged(found, spark.sparkContext.broadcast(made), sizes, part, parts)
+        if parts > 1:
+            found = materialize(found, f"part{part}")
+    best = F.array_min(F.transform(F.filter("fits", lambda f: f["named"]), lambda f: F.struct((-f["n"]).alias("n"), f["key"].alias("key"), f["block"].alias("block"))))
+    verdict = F.when(best.isNotNull(), F.when(best["block"], "block").otherwise("allow")).when(F.size("fits") > 0, "block").otherwise("allow")
+    return found.select(F.col("k").alias(key), "host", "path", best["key"].alias("rule"), verdict.alias("verdict"))
+
+
+def _judged(rows: DataFrame, sent: Broadcast, sizes: Sequence[int], part: int, parts: int) -> DataFrame:
+    """Adds the candidate keys that this part's filters hold to each row's `fits`."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        cascade, verdicts, _ = sent.value
+        filters = sent.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            tried = [candidates(h, p, sizes) for h, p in zip(hosts, paths, strict=True)]
-            flat = np.array([key_hash(a + b) for t in tried for a, b in t], np.int64)
-            held = iter(cascade.holds(flat).tolist())
-            names, said = [], []
-            for t in tried:
-                fits = [a + b for a, b in t if next(held)]
-                rule = next((k for k in fits if k in verdicts), None)
-                names.append(rule)
-                said.append(verdicts[rule] if rule is not None else "block" if fits else "allow")
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(names, pa.string()), pa.array(said, pa.string())], names=[key, "host", "path", "rule", "verdict"])
+            hosts, paths, fits = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            tried = [(i, a + b) for i, (h, p) in enumerate(zip(hosts, paths, strict=True)) for a, b in candidates(h, p, sizes)]
+            flat = np.array([key_hash(k) for _, k in tried], np.int64)
+            mine = (flat >> 20) % parts == part
+            held = np.flatnonzero(mine)[filters.listed.holds(flat[mine])]
+            named, blocking = filters.rules.holds(flat[held]), filters.blocking.holds(flat[held])
+            for k, x, y in zip(held.tolist(), named.tolist(), blocking.tolist(), strict=True):
+                i, name = tried[k]
+                fits[i].append({"n": len(name), "key": name, "named": x, "block": x and y})
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fits, batch.schema.field(3).type)], schema=batch.schema)
 
         return work
 
-    return map_rows(rows, ["k", "host", "path"], make, f"`{key}` {df.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string", rows=4096)
+    return map_rows(rows, ["k", "host", "path", "fits"], make, rows.schema, rows=4096)
 
 
 def sql(rules: Sequence[str], blocked: Sequence[str] = ()) -> str:

@@ -53,6 +53,29 @@ def test_url_edges(spark):
     assert url_cascade.filter_urls(df, [], []).filter("verdict = 'allow'").count() == len(urls)
 
 
+def test_a_long_list_is_judged_part_by_part(spark):
+    """A block list of every third host and path of the corpus, in filters of at most 200 bytes a level, against plain Python."""
+    rng = random.Random(3)
+    urls = [f"http://{rng.choice('abc')}{i % 400}.site{i % 37}.example/{rng.choice('xyz')}/{i % 11}?q={i}" for i in range(3000)] + [None, "no scheme", "http://" + "a" * 5000 + ".example/" + "p" * 50000]
+    df = spark.createDataFrame([(i, u, "x", 1, "y") for i, u in enumerate(urls)], "page_id long, url string, fits string, h int, key string")
+    keys = sorted({u.split("://")[1].split("?")[0] for u in urls[:3000:3]}) + ["site5.example/", "site6.example/x/1"]
+    rules = ["allow site5.example/z/", "block site7.example/x/"]
+    parsed = [url_cascade.parse_rule(r) for r in rules]
+
+    def plain(u):
+        rest = u.partition("://")[2] if u and "://" in u else ""
+        host, path = rest.split("?")[0].split("/")[0], "".join(rest.split("?")[0].partition("/")[1:])
+        fits = lambda k: ("." + host).endswith("." + k.split("/")[0]) and path.startswith(k[k.index("/") :])
+        named = max((r for r in parsed if fits(r.key)), key=lambda r: len(r.key), default=None)
+        return (named.key, named.verdict) if named else (None, "block" if any(map(fits, keys)) else "allow")
+
+    table = spark.createDataFrame([(k,) for k in keys * 2], "key string")
+    for options in ({"max_bytes": 200}, {}):
+        found = {r.page_id: (r.rule, r.verdict) for r in url_cascade.filter_urls(df, rules, table, **options).collect()}
+        assert found == {i: plain(u) for i, u in enumerate(urls)}
+    assert {v for _, v in found.values()} == {"allow", "block"} and len({r for r, _ in found.values()}) == 3
+
+
 # --- html --------------------------------------------------------------------------------------------------------
 
 
