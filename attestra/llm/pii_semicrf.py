@@ -6,8 +6,9 @@ tokens that hold a digit, `@` or `=`, or belong to an address written with (at)
 word and a colon. Every other token is fixed as outside, so blocks are independent, and with that the decoding
 of a whole text is exact. In a block, a segment is up to LONGEST tokens of one kind; features describe the whole segment (digit and
 letter counts, group shape, checksums, words to its left), never single tokens. Dynamic programming with this bound on entities finds
-the best boundaries and kinds jointly. Weights are fitted by exact conditional likelihood (forward-backward)
-on labelled blocks that a seeded grammar writes; nothing is read from the corpus.
+the best boundaries and kinds jointly, over a window of LONGEST tokens, so a block of any length takes a few bytes a token. Weights are
+fitted once, on the driver, by exact conditional likelihood (forward-backward) on labelled blocks that a seeded grammar writes; nothing is read
+from the corpus. They are rounded to integers, as are all scores, so a text's spans do not depend on the machine that reads it.
 
 Base spans stay as they are; a segment of the field that overlaps one is dropped.
 """
@@ -18,8 +19,10 @@ import hashlib
 import random
 import re
 import string
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -156,12 +159,11 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, left: str) -> np.ndarray:
-    """left: the two tokens before the segment, lower-cased."""
-    whole = text[tokens[i][0] : tokens[j - 1][1]]
-    a, b = trimmed(text, tokens[i][0], tokens[j - 1][1])
-    s = text[a:b]
-    on = {"bias"}
+@lru_cache(maxsize=1 << 14)
+def segment_features(whole: str, tokens: int) -> tuple[int, ...]:
+    """What is true of a segment by itself: indexes of features."""
+    a, b = trimmed(whole, 0, len(whole))
+    s = whole[a:b]
     digits = NOT_DIGIT.sub("", s)
     letters = sum(map(str.isalpha, s))
     groups = re.split(r"[ ().:-]+", s.strip("+ ()"))
@@ -171,23 +173,34 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, l
     names = (low.split("=", 1)[0], re.split(r"[&?;,/\s=]", low.rpartition("=")[0])[-1])  # before the first value, and of the last, which trimmed() keeps
     compact = re.sub(r"[ -]", "", s)
     rules = {
-        "more tokens": j - i > 1, "at sign": "@" in s, "at word": bool(WRITTEN.fullmatch(s)), "dotted domain": bool(DOTTED.search(s)) and letters > 3,
+        "more tokens": tokens > 1, "at sign": "@" in s, "at word": bool(WRITTEN.fullmatch(s)), "dotted domain": bool(DOTTED.search(s)) and letters > 3,
         "four octets": bool(IP.fullmatch(s)) and all(int(p[:4]) <= 255 for p in s.split(".")), "colon groups": s.count(":") >= 4 and bool(re.fullmatch(r"[0-9A-Fa-f:]+", s)),
         "luhn 13-19": 13 <= n <= 19 and not letters and luhn(digits), "digits 13-19": 13 <= n <= 19 and not letters, "digits 9-15": 9 <= n <= 15 and not letters, "digits 7-8": n in (7, 8) and not letters, "digits under 7": 0 < n < 7 and not letters,
         "starts plus": s.startswith("+"), "parentheses": "(" in s and ")" in s, "shape 3-3-4": sizes[-3:] == (3, 3, 4) and not letters, "shape 3-2-4": sizes == (3, 2, 4) and not letters, "shape 4-4-4-4": sizes == (4, 4, 4, 4) and not letters,
         "country and check": bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", compact)), "letters and digits": letters > 2 and n > 2 and compact.isalnum(), "hex 16+": bool(re.fullmatch(r"[0-9a-fA-F]{16,}", s)) and letters > 0 and n > 0,
-        "long mixed 16+": len(s) >= 16 and j - i == 1 and letters > 4 and n > 1 and "@" not in s and "/" not in s and "." not in s, "key prefix": bool(re.match(r"(AKIA|ASIA|ghp_|sk-|xox)[A-Za-z0-9-]{10,}", s)), "keyword inside": "=" in low and any(k in name for name in names for k in KEYWORDS),
-        "keyword left": any(k in left for k in KEYWORDS), "mail word left": bool(LEFT_MAIL & set(re.split(r"[\s:]+", left))), "phone word left": bool(LEFT_PHONE & set(re.split(r"[\s:.]+", left))), "account word left": bool(LEFT_ACCOUNT & set(re.split(r"[\s:]+", left))),
-        "only digits": s.isdigit(), "one number": j - i == 1 and bool(re.fullmatch(r"[0-9][0-9.,%]*", s)), "year": bool(re.fullmatch(r"(19|20)[0-9]{2}", s)), "decimal": bool(re.fullmatch(r"[0-9]+[.,][0-9]+", s)), "date": bool(re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", s)),
-        "plain word": s.isalpha(), "no digit": n == 0, "equals": "=" in whole, "named secret": bool((m := NAMED.search(whole)) and m.end() < len(whole) or NAMED_LEFT.search(left)), "20+ long": len(s) >= 20, "under 6 long": len(s) < 6, "even groups of 2": len(groups) >= 4 and set(sizes) == {2} and not letters, "separators mixed": len(set(re.findall(r"[ .-]", s))) > 1 and not letters,
+        "long mixed 16+": len(s) >= 16 and tokens == 1 and letters > 4 and n > 1 and "@" not in s and "/" not in s and "." not in s, "key prefix": bool(re.match(r"(AKIA|ASIA|ghp_|sk-|xox)[A-Za-z0-9-]{10,}", s)), "keyword inside": "=" in low and any(k in name for name in names for k in KEYWORDS),
+        "only digits": s.isdigit(), "one number": tokens == 1 and bool(re.fullmatch(r"[0-9][0-9.,%]*", s)), "year": bool(re.fullmatch(r"(19|20)[0-9]{2}", s)), "decimal": bool(re.fullmatch(r"[0-9]+[.,][0-9]+", s)), "date": bool(re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", s)),
+        "plain word": s.isalpha(), "no digit": n == 0, "equals": "=" in whole, "named secret": bool((m := NAMED.search(whole)) and m.end() < len(whole)), "20+ long": len(s) >= 20, "under 6 long": len(s) < 6, "even groups of 2": len(groups) >= 4 and set(sizes) == {2} and not letters, "separators mixed": len(set(re.findall(r"[ .-]", s))) > 1 and not letters,
     }
     if rules["country and check"]:
         moved = compact[4:] + compact[:4]
         rules["mod 97"] = int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
-    on |= {k for k, v in rules.items() if v}
-    out = np.zeros(len(FEATURES))
-    out[[INDEX[k] for k in on]] = 1.0
-    return out
+    return (INDEX["bias"], *(INDEX[k] for k, v in rules.items() if v))
+
+
+def left_features(left: str) -> tuple[int, ...]:
+    """left: the two tokens before a segment, lower-cased."""
+    words = set(re.split(r"[\s:]+", left))
+    rules = {
+        "keyword left": any(k in left for k in KEYWORDS), "mail word left": bool(LEFT_MAIL & words), "phone word left": bool(LEFT_PHONE & set(re.split(r"[\s:.]+", left))),
+        "account word left": bool(LEFT_ACCOUNT & words), "named secret": bool(NAMED_LEFT.search(left)),
+    }
+    return tuple(INDEX[k] for k, v in rules.items() if v)
+
+
+def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, left: tuple[int, ...]) -> list[int]:
+    """Of the segment of tokens i to j (exclusive), each once."""
+    return sorted({*segment_features(text[tokens[i][0] : tokens[j - 1][1]], j - i), *left})
 
 
 # --- the field ---------------------------------------------------------------------------------------------------
@@ -196,8 +209,14 @@ STATES = ("outside", *KINDS)
 
 
 def _grid(text: str, tokens: list[tuple[int, int]], left: list[str]) -> dict[tuple[int, int], np.ndarray]:
-    n = len(tokens)
-    return {(i, j): segment_features(text, tokens, i, j, left[i]) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)}
+    """For fitting: each segment's features as ones and zeros."""
+    n, out = len(tokens), {}
+    for i in range(n):
+        before = left_features(left[i])
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            out[i, j] = np.zeros(len(FEATURES))
+            out[i, j][features(text, tokens, i, j, before)] = 1.0
+    return out
 
 
 def _scores(grid: dict, weights: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -232,23 +251,53 @@ def marginals(n: int, scores: dict, moves: np.ndarray) -> tuple[float, dict, np.
     return z, segments, between
 
 
-def decode(n: int, scores: dict, moves: np.ndarray) -> list[tuple[int, int, int]]:
+@dataclass(frozen=True)
+class Field:
+    """Integer scores (1/UNIT): of each feature in each state (outside: none), and of each move between states."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+
+
+UNIT, NEVER = 1024, -(1 << 50)
+
+
+def scorer(text: str, tokens: list[tuple[int, int]], left: Callable[[int], str], field: Field) -> Callable[[int, int], np.ndarray]:
+    """Scores of a segment in each state; the features to the left of the last LONGEST tokens are kept."""
+    near: dict[int, tuple[int, ...]] = {}
+
+    def scored(i: int, j: int) -> np.ndarray:
+        if i not in near:
+            near.pop(i - LONGEST, None)
+            near[i] = left_features(left(i))
+        out = field.weights[features(text, tokens, i, j, near[i])].sum(0)
+        if j > i + 1:
+            out[0] = NEVER  # outside has length one and score zero
+        return out
+
+    return scored
+
+
+def decode(n: int, scored: Callable[[int, int], np.ndarray], moves: np.ndarray) -> list[tuple[int, int, int]]:
     """The best labelling's segments that are not outside; ties prefer outside, then earlier kinds and shorter segments."""
     k = len(STATES)
-    best = np.full((n + 1, k), -np.inf)
-    best[0, 0] = 0.0
-    came: dict[tuple[int, int], tuple[int, int]] = {}
+    length, prior = np.zeros((n + 1, k), np.int8), np.zeros((n + 1, k), np.int8)
+    best = np.full(k, NEVER, np.int64)
+    best[0] = 0
+    #: Of the last LONGEST places: the best score on the way to each next state, and the state it came from.
+    window: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=LONGEST)
     for j in range(1, n + 1):
-        for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
-            step = best[i][:, None] + moves
-            prev = step.argmax(0)
-            value = step.max(0) + scores[i, j]
-            for s in np.flatnonzero(value > best[j]):
-                best[j, s] = value[s]
-                came[j, int(s)] = (i, int(prev[s]))
-    j, s, out = n, int(best[n].argmax()), []
+        step = best[:, None] + moves
+        window.append((step.max(0), step.argmax(0)))
+        best = np.full(k, NEVER, np.int64)
+        for back in range(1, len(window) + 1):
+            arrived, came = window[-back]
+            value = arrived + scored(j - back, j)
+            better = value > best
+            best[better], length[j, better], prior[j, better] = value[better], back, came[better]
+    j, s, out = n, int(best.argmax()), []
     while j:
-        i, prev = came[j, s]
+        i, prev = j - int(length[j, s]), int(prior[j, s])
         if s:
             out.append((i, j, s))
         j, s = i, prev
@@ -306,8 +355,9 @@ def _grammar(rng: random.Random) -> tuple[list[str], list[tuple[int, int, str]]]
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 7, blocks: int = 700, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, moves): exact conditional likelihood with a quadratic penalty, adaptive gradient steps over seeded blocks."""
+def trained(seed: int = 7, blocks: int = 700, epochs: int = 6) -> Field:
+    """Exact conditional likelihood with a quadratic penalty, adaptive gradient steps over seeded blocks. A few hundred numbers, which
+    operators send along with their tasks."""
     rng, k = random.Random(seed), len(STATES)
     weights, moves = np.zeros((len(FEATURES), k - 1)), np.zeros((k, k))
     seen_w, seen_m = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
@@ -342,10 +392,22 @@ def trained(seed: int = 7, blocks: int = 700, epochs: int = 6) -> tuple[np.ndarr
             seen_m += up_m**2
             weights += 0.3 * up_w / np.sqrt(seen_w)
             moves += 0.3 * up_m / np.sqrt(seen_m)
-    return weights, moves
+    return Field(np.concatenate([np.zeros((len(FEATURES), 1), np.int64), np.rint(weights * UNIT).astype(np.int64)], 1), np.rint(moves * UNIT).astype(np.int64))
+
+
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    return starts, ends
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray, moves: np.ndarray) -> list[tuple[str, int, int]]:
+def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """The field's segments that overlap no base span."""
     open_ = cues(text)
     if not open_ and not TRIGGER.search(text):
@@ -358,7 +420,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray
             if tokens[k][0] >= b:
                 break
             hot[k] = True
-    taken = sorted((a, b) for _, a, b in base)
+    starts, stops = _merged(base)
     out: list[tuple[str, int, int]] = []
     at = 0
     while at < len(tokens):
@@ -369,22 +431,23 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray
         while end < len(tokens) and hot[end]:
             end += 1
         block = tokens[at:end]
-        left = [text[tokens[max(0, at + i - 2)][0] : tokens[at + i][0]][-64:].lower() for i in range(len(block))]
-        for i, j, s in decode(len(block), _scores(_grid(text, block, left), weights), moves):
+        left = lambda i, at=at: text[max(tokens[max(0, at + i - 2)][0], tokens[at + i][0] - 64) : tokens[at + i][0]].lower()
+        for i, j, s in decode(len(block), scorer(text, block, left, field), field.moves):
             a, b = trimmed(text, block[i][0], block[j - 1][1])
-            if a < b and not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b) - 1  # the last stretch that begins before b
+            if a < b and (before < 0 or stops[before] <= a):
                 out.append((KINDS[s - 1], a, b))
         at = end
     return out
 
 
-def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find(text: str | None, field: Field | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind, then start. Null: none."""
     if not text:
         return [], []
     base = base_spans(text)
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted(base + added_spans(text, base, *trained()), key=lambda s: (order[s[0]], s[1]))
+    return base, sorted(base + added_spans(text, base, field or trained()), key=lambda s: (order[s[0]], s[1]))
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -393,12 +456,13 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, spans): arrays of (kind, start, end), code points, end exclusive, for every row of df. Null and empty texts
-    have none; repeated rows repeat; an empty table gives no rows."""
+    have none; repeated rows repeat; texts of any length are read whole; further columns are not read, whatever their names; an empty table gives no rows."""
+    field = trained()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [find(t) for t in batch.column(1).to_pylist()]
+            found = [find(t, field) for t in batch.column(1).to_pylist()]
             named = [[[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found] for i in (0, 1)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(named[0], spans), pa.array(named[1], spans)], names=[key, "base", "spans"])
 
@@ -408,12 +472,12 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_rows(df, [key, text], make, f"`{key}` {df.schema[key].dataType.simpleString()}, base {entity}, spans {entity}")
 
 
-def masked(text: str | None) -> str | None:
+def masked(text: str | None, field: Field | None = None) -> str | None:
     """The text with each stretch of overlapping spans replaced by its first kind in capitals and brackets."""
     if not text:
         return text
     out, at, end = [], 0, -1
-    for kind, a, b in sorted(find(text)[1], key=lambda s: (s[1], -s[2])):
+    for kind, a, b in sorted(find(text, field)[1], key=lambda s: (s[1], -s[2])):
         if a < end:
             end = max(end, b)
             continue
@@ -427,13 +491,13 @@ def masked(text: str | None) -> str | None:
 def mask(df: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """df with personal data masked in its text column, other columns as they are; `length` names a column that holds the
     text's code points and follows it (null texts keep theirs)."""
-    at, after = df.columns.index(text), df.columns.index(length) if length else None
+    at, after, field = df.columns.index(text), df.columns.index(length) if length else None, trained()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                new = [masked(t) for t in part.column(at).to_pylist()]
+                new = [masked(t, field) for t in part.column(at).to_pylist()]
                 columns = list(part.columns)
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 if after is not None:

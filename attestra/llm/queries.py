@@ -61,14 +61,16 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """The base counts, digest and spans, then the number of all spans and how many of each kind the field adds."""
     found = pii_semicrf.detect(_table(spark, folder, "documents"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    def count(kind: str):
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def count(spans: str, kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [count(kind) for kind in pii_semicrf.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    counts = [count("base", kind).alias(f"n_{kind}") for kind in pii_semicrf.BASE_KINDS]
+    added = [(count("spans", kind) - count("base", kind)).alias(f"added_{kind}") for kind in pii_semicrf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)
 
 
 def op9_chat(spark: SparkSession, folder: str) -> DataFrame:

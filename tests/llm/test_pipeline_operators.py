@@ -329,7 +329,8 @@ def test_decoding_is_the_best_of_all_segmentations():
                         yield here + rest, ([(i, j, s)] if s else []) + path
 
     totals = list(every(0, 0))
-    assert pii_semicrf.decode(n, scores, moves) == max(totals, key=lambda x: x[0])[1]
+    whole = {k: np.where(np.isfinite(v), np.nan_to_num(v * 2**30, neginf=0).round(), pii_semicrf.NEVER).astype(np.int64) for k, v in scores.items()}
+    assert pii_semicrf.decode(n, lambda i, j: whole[i, j], np.rint(moves * 2**30).astype(np.int64)) == max(totals, key=lambda x: x[0])[1]
     z, segments, _ = pii_semicrf.marginals(n, scores, moves)
     assert z == pytest.approx(np.log(np.exp([x for x, _ in totals]).sum()))
     weight = np.exp([x - z for x, _ in totals])
@@ -337,14 +338,14 @@ def test_decoding_is_the_best_of_all_segmentations():
 
 
 def test_the_field_learns_its_grammar():
-    weights, moves = pii_semicrf.trained()
+    field = pii_semicrf.trained()
     rng, right = random.Random(99), 0
     for _ in range(200):
         tokens, spans = pii_semicrf._grammar(rng)
         text = " ".join(tokens)
         places = [m.span() for m in pii_semicrf.TOKEN.finditer(text)]
-        grid = pii_semicrf._grid(text, places, [" ".join(tokens[max(0, i - 2) : i]).lower() for i in range(len(tokens))])
-        right += [(i, j, pii_semicrf.STATES[s]) for i, j, s in pii_semicrf.decode(len(tokens), pii_semicrf._scores(grid, weights), moves)] == spans
+        scored = pii_semicrf.scorer(text, places, lambda i, tokens=tokens: " ".join(tokens[max(0, i - 2) : i]).lower(), field)
+        right += [(i, j, pii_semicrf.STATES[s]) for i, j, s in pii_semicrf.decode(len(tokens), scored, field.moves)] == spans
     assert right >= 190
 
 
@@ -360,7 +361,7 @@ def test_added_spans_and_masks():
 def test_features_are_of_the_whole_segment():
     url = f"https://host/{'a' * 130}?x=1&password=ab12cd34"
     assert [(k, url[a:b]) for k, a, b in pii_semicrf.find(url)[1]] == [("secret", "ab12cd34")]
-    on = lambda s: {k for k, x in zip(pii_semicrf.FEATURES, pii_semicrf.segment_features(s, [(0, len(s))], 0, 1, ""), strict=True) if x}
+    on = lambda s: {pii_semicrf.FEATURES[k] for k in pii_semicrf.segment_features(s, 1)}
     assert "letters and digits" not in on("a1b2c3" * 30 + "/") and "only digits" not in on("9" * 128 + "abc")
 
 
@@ -377,6 +378,31 @@ def test_personal_data_without_a_digit_or_sign():
     assert pii_semicrf.masked("password: correcthorse") == "password: [SECRET]"
 
 
+def test_a_long_block_is_decoded_in_a_window():
+    import tracemalloc
+
+    rng = random.Random(11)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(6000)) + " (559) 555-3893 a@b.de " + "x@y.zz " * 3000 + "call (559) 555-3894"
+    field = pii_semicrf.trained()
+    tracemalloc.start()
+    base, spans = pii_semicrf.find(text, field)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(base) == 3001 and {text[a:b] for k, a, b in spans if k == "phone"} >= {"(559) 555-3893", "(559) 555-3894"}
+    assert used < 40 << 20
+
+
+def test_overlaps_with_base_spans_are_found_among_all_of_them():
+    rng = random.Random(12)
+    for _ in range(300):
+        spans = [("card", a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        starts, stops = pii_semicrf._merged(spans)
+        for a in range(60):
+            for b in range(a + 1, 62):
+                before = pii_semicrf.bisect_left(starts, b) - 1
+                assert (before < 0 or stops[before] <= a) == (not any(x < b and a < y for _, x, y in spans))
+
+
 def test_personal_data_edges(docs):
     rows = [*EDGES, (8, "1" * 60000), (9, "a@" * 20000), (10, "x@y.zz " * 3)]
     found = {r.doc_id: r for r in pii_semicrf.detect(docs(rows)).collect()}
