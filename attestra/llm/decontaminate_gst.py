@@ -5,7 +5,8 @@ Texts are lower-cased and cut into words (`\\w+`). A document and a test item ar
 Every tile is made of seeds, so only the parts of a document that seeds cover are tiled: greedy string tiling repeatedly
 marks the longest matches that no tile covers yet, found by running Karp-Rabin hashes at a falling search length. Tiles may
 come in any order, so reordered passages count. A document is contaminated by an item when tiles cover at
-least `threshold` of the item's words, or when one tile has `long` words or more.
+least `threshold` of the item's words, or when one tile has `long` words or more. An item of fewer than `minimum` words has no seed; it is
+one itself, of its own length, and a document that holds its words in a row is contaminated by it.
 
 The items are sent to the executors in blocks of at most `block_bytes` of text, one pass over the documents for each block, so
 what is broadcast is bounded however large the benchmark is. Documents are never shuffled, and a passage that many
@@ -111,61 +112,68 @@ class Items:
     vocabulary: dict[str, int]
     keys: list
     words: list[list[int]]
-    seeds: np.ndarray
-    holders: list[tuple[int, ...]]
+    #: By length: hashes in order, and the items that hold each. `minimum` for all longer items, their own length for shorter ones.
+    seeds: dict[int, tuple[np.ndarray, list[tuple[int, ...]]]]
     minimum: int
 
 
 def index_items(items: list[tuple[object, str]], minimum: int) -> Items:
     vocabulary: dict[str, int] = {}
     words = [[vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(text.lower())] for _, text in items]
-    where: dict[int, set[int]] = {}
+    where: dict[int, dict[int, set[int]]] = {}
     for k, ids in enumerate(words):
-        for h in running_hashes(np.array(ids, np.int64), minimum).tolist():
-            where.setdefault(h, set()).add(k)
-    seeds = np.array(sorted(where), np.uint64)
-    return Items(vocabulary, [k for k, _ in items], words, seeds, [tuple(sorted(where[h])) for h in seeds.tolist()], minimum)
+        length = min(minimum, len(ids))
+        for h in running_hashes(np.array(ids, np.int64), length).tolist() if length else ():
+            where.setdefault(length, {}).setdefault(h, set()).add(k)
+    seeds = {}
+    for length, found in sorted(where.items()):
+        hashes = np.array(sorted(found), np.uint64)
+        seeds[length] = hashes, [tuple(sorted(found[h])) for h in hashes.tolist()]
+    return Items(vocabulary, [k for k, _ in items], words, seeds, minimum)
+
+
+def _seeded(ids: np.ndarray, missing: np.ndarray, length: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the text, seeds) of all windows of known words that are seeds."""
+    whole = np.flatnonzero(missing[length:] == missing[:-length])
+    hashes = np.zeros(len(whole), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            hashes = hashes * BASE + ids[whole + k].astype(np.uint64)
+    at = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
+    hit = seeds[at] == hashes
+    return whole[hit], at[hit]
 
 
 def matches(text: str | None, items: Items, threshold: float, long: int = LONG) -> list[tuple[int, int, int, int]]:
     """(item's index, tiles, covered words, longest tile) for each item that the text holds."""
-    m = items.minimum
-    if not text or not len(items.seeds):
+    if not text or not items.seeds:
         return []
     get = items.vocabulary.get
     ids = np.fromiter((get(w, -1) for w in WORD.findall(text.lower())), np.int64)
-    if len(ids) < m:
-        return []
     missing = np.concatenate([[0], np.cumsum(ids < 0)])
-    whole = np.flatnonzero(missing[m:] == missing[:-m])
-    if not len(whole):
-        return []
-    hashes = np.zeros(len(whole), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(m):
-            hashes = hashes * BASE + ids[whole + k].astype(np.uint64)
-    at = np.minimum(np.searchsorted(items.seeds, hashes), len(items.seeds) - 1)
-    hit = items.seeds[at] == hashes
-    covers: dict[int, list[int]] = {}
-    for start, seed in zip(whole[hit].tolist(), at[hit].tolist(), strict=True):
-        for k in items.holders[seed]:
-            covers.setdefault(k, []).append(start)
     out = []
-    for k, starts in sorted(covers.items()):
-        pattern = items.words[k]
-        part: list[int] = []
-        end = -1
-        for s in starts:
-            if s > end:
-                part.append(-1)
-                end = s
-            part.extend(ids[end : s + m].tolist())
-            end = s + m
-        tiles = tile(pattern, part, m)
-        covered, longest = sum(size for _, _, size in tiles), max((size for _, _, size in tiles), default=0)
-        if covered >= threshold * len(pattern) or longest >= long:
-            out.append((k, len(tiles), covered, longest))
-    return out
+    for m, (seeds, holders) in items.seeds.items():
+        if len(ids) < m:
+            break
+        covers: dict[int, list[int]] = {}
+        for start, seed in zip(*(x.tolist() for x in _seeded(ids, missing, m, seeds)), strict=True):
+            for k in holders[seed]:
+                covers.setdefault(k, []).append(start)
+        for k, starts in covers.items():
+            pattern = items.words[k]
+            part: list[int] = []
+            end = -1
+            for s in starts:
+                if s > end:
+                    part.append(-1)
+                    end = s
+                part.extend(ids[end : s + m].tolist())
+                end = s + m
+            tiles = tile(pattern, part, m)
+            covered, longest = sum(size for _, _, size in tiles), max((size for _, _, size in tiles), default=0)
+            if covered >= threshold * len(pattern) or longest >= long:
+                out.append((k, len(tiles), covered, longest))
+    return sorted(out)
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, minimum: int, block_bytes: int) -> Iterator[Items]:
@@ -181,8 +189,9 @@ def blocks(benchmark: DataFrame, key: str, text: str, minimum: int, block_bytes:
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", minimum: int = MINIMUM, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, item key, n_tiles, covered, item_words, longest, coverage) for every document and item that it holds.
 
-    Null and empty texts hold nothing, items of fewer than `minimum` words are not looked for, repeated rows repeat, and an
-    empty benchmark or table gives no rows.
+    Null and empty texts hold nothing and items without a word are held by nothing; items of fewer than `minimum` words are looked for as a
+    whole; repeated rows repeat; texts of any length are read whole; further columns are not read, whatever their names; an empty
+    benchmark or table gives no rows.
     """
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{item_key}` {benchmark.schema[item_key].dataType.simpleString()}, n_tiles int, covered int, item_words int, longest int, coverage double"
     context, out = df.sparkSession.sparkContext, None
