@@ -15,19 +15,19 @@ Code lengths are integers (1/1024 bit), so sums do not depend on their order.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.common import map_rows, run_bounds
 
 UNIT = 1024
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 LANE, PIECE, BUFFER = 192, 1 << 20, 1 << 20
 DRAWS = (1 << 31) - 1
 
@@ -152,14 +152,17 @@ def code_lengths(model: Automaton, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 250, max_bytes: int = 1 << 20, order: int = 5, max_contexts: int = 8000) -> Automaton:
-    """Fits on a bounded sample: of each label the `per_label` keys with the least hash, at most `max_bytes` of text.
+def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 250, max_bytes: int = 1 << 20, max_labels: int = 200, order: int = 5, max_contexts: int = 8000) -> Automaton:
+    """Fits on a bounded sample: of each of the `max_labels` most frequent labels (by name among equals) the `per_label` keys with the least
+    hash, of these in order the texts that begin within the first `max_bytes` of text, so that at most one text goes beyond.
 
     Rows without key, label or a letter in their text teach nothing. Labels are counted, then only the keys under a bar that lets about as
-    many through as are wanted come to the driver (nothing is sorted or gathered by label), then the chosen rows' texts are read.
+    many through as are wanted come to the driver (nothing is sorted or gathered by label), then the chosen rows' texts are cut to the
+    bound before they are collected.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).dropna()
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # labels are few
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).dropna().filter(F.col("t").rlike(r"\p{L}"))
+    counted = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_labels)
+    sizes = {r["l"]: r["n"] for r in counted.collect()}
     draw, top = F.pmod(F.xxhash64("k"), F.lit(DRAWS)), dict.fromkeys(sizes, 0)
     picked: dict[object, list] = {}
     while open_ := [lang for lang in sizes if len(picked.get(lang, ())) < per_label and top[lang] < DRAWS]:
@@ -171,20 +174,18 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     ids = [(lang, k, n) for lang, keys in picked.items() for n, (_, k) in enumerate(keys)]
     schema = f"l string, k {df.schema[key].dataType.simpleString()}, n int"
     chosen = df.sparkSession.createDataFrame(ids, schema)
-    found = rows.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "n", "k").agg(F.min("t").alias("t")).collect()  # one text a key
-    samples, spent = [], {}
-    for r in sorted(found, key=lambda r: (r["l"], r["n"], r["k"], r["t"])):
-        if spent.get(r["l"], 0) < max_bytes and LETTER.search(r["t"]):
-            samples.append((r["l"], r["t"]))
-            spent[r["l"]] = spent.get(r["l"], 0) + len(r["t"])
-    return fit(samples, order, max_contexts)
+    one = rows.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "n", "k").agg(F.min("t").alias("t"))  # one text a key
+    before = F.coalesce(F.sum(F.octet_length("t")).over(Window.partitionBy("l").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = one.withColumn("before", before).filter(F.col("before") < max_bytes).collect()
+    return fit([(r["l"], r["t"]) for r in sorted(found, key=lambda r: (r["l"], r["n"]))], order, max_contexts)
 
 
 def predict(df: DataFrame, model: Automaton, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, bits_per_byte) for every row.
 
     `und` with score 0 where the text is null or has no letter, or where nothing was learned. The score is the posterior of
-    the shortest code length under equal priors; ties go to the first language in order of name. Repeated rows repeat.
+    the shortest code length under equal priors; ties go to the first language in order of name. Repeated rows repeat, texts of any
+    length are coded whole, further columns are not read, whatever their names; an empty table gives no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # at most max_contexts x 256 entries, whatever the input
 
