@@ -4,9 +4,9 @@ A record's score in shard s is ln(u) / weight(s), u in (0, 1) from a digest of i
 highest. With one more shard only the records whose new score is the highest move, all of them into that shard. Everything
 is DataFrame expressions; the shard depends on the key, the shard numbers and the weights alone.
 
-Slots number a shard's records from 0 without gaps, by key: the records are range-partitioned by shard, key and reading
-position, so that even a single key with a large share of all rows is split over tasks, written to the shared
-folder, and a small table of where each shard's part of a partition begins turns positions into slots.
+Slots number a shard's records from 0 without gaps, by key: the records are scored once and written to the shared folder, range-partitioned
+by shard, key and reading position, so that even a single key with a large share of all rows is split over tasks, written
+again, and a small table of where each shard's part of a partition begins turns positions into slots.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def shard_rows(df: DataFrame, weights: Sequence[float], key: str = "doc_id", tex
 
     size is the text's UTF-8 bytes (null: none) plus 16, and the checksum of a null text is that of an empty one. Rows
     without a key use their text's digest in its place. Repeated rows share a shard and take neighbouring slots. An empty
-    table gives no rows; at least one shard and positive weights are needed. `columns` names further columns to carry,
+    table gives no rows; texts of any length are measured whole; at least one shard and positive weights are needed. `columns` names further columns to carry,
     none of them called like a result.
     """
     if not weights or min(*weights, grown_weight) <= 0:
@@ -55,7 +55,8 @@ def shard_rows(df: DataFrame, weights: Sequence[float], key: str = "doc_id", tex
     rows = rows.withColumn("best", place(F.col("name"), weights))
     more = score(F.col("name"), F.lit(n), grown_weight)
     rows = rows.withColumn("shard", F.col("best.shard")).withColumn("grown_shard", F.when(more >= F.col("best.score"), F.lit(n)).otherwise(F.col("shard")))
-    rows = rows.drop("best", "name").withColumn("read", F.monotonically_increasing_id())
+    # ranges are drawn from a sample of the rows: what is written is not scored again for it
+    rows = materialize(rows.drop("best", "name").withColumn("read", F.monotonically_increasing_id()), "scored")
     parts = rows.repartitionByRange("shard", "k", "read").sortWithinPartitions("shard", "k", "read").withColumn("at", F.monotonically_increasing_id())
     placed = materialize(parts.drop("read"), "placed")
     placed = placed.withColumn("part", F.shiftright("at", 33))
