@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.common import map_rows
@@ -119,12 +119,40 @@ def events_of_turns(df: DataFrame, conversation: str = "conv_id", turn: str = "t
     return df.select(F.col(conversation).alias("conversation"), F.col(turn).cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message"), F.col(role).alias("role"), F.col(text).alias("text"))
 
 
-def reconstruct(events: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def streamed_log(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The log that a chat server would have written on the way to these turns, partitioned by conversation: by turn messages come whole,
+    are edited and edited back, are regenerated and streamed in two deltas, or get a delta that an edit takes away; after every third, another
+    message is opened, streamed and deleted. Its fold gives the turns: by turn, rows with one turn by role, then text; repeated rows too."""
+    rows = df.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    at = F.row_number().over(Window.partitionBy("conversation").orderBy("turn", "role", "text"))
+    rows = rows.withColumn("at", at.cast("long")).drop("turn")
+    name, half = F.col("at").cast("string"), F.floor(F.char_length("text") / 2).cast("int")
+    nothing = F.lit(None).cast("string")
+
+    def event(step: int, kind: str, body: Column, of: Column = name, by: Column = nothing) -> Column:
+        return F.struct((F.col("at") * 16 + step).alias("seq"), F.lit(kind).alias("kind"), of.alias("message"), by.alias("role"), body.alias("text"))
+
+    whole = event(0, "message", F.col("text"), by=F.col("role"))
+    ways = [
+        F.array(whole),
+        F.array(whole, event(1, "edit", F.concat("text", F.lit(" (sic)"))), event(2, "edit", F.col("text"))),
+        F.array(event(0, "open", nothing, by=F.col("role")), event(1, "delta", F.lit("an answer that is not wanted")), event(2, "regenerate", nothing), event(3, "delta", F.substr("text", F.lit(1), half)), event(4, "delta", F.substr("text", half + 1))),
+        F.array(whole, event(1, "delta", F.lit(" and more")), event(2, "edit", F.col("text"))),
+    ]
+    way = F.when(F.col("at") % 4 == 0, ways[0]).when(F.col("at") % 4 == 1, ways[1]).when(F.col("at") % 4 == 2, ways[2]).otherwise(ways[3])
+    other = F.concat(name, F.lit("x"))
+    gone = F.array(event(8, "open", nothing, other, F.lit("user")), event(9, "delta", F.lit("never mind"), other), event(10, "delete", nothing, other))
+    told = F.when(F.col("at") % 3 == 0, F.concat(way, gone)).otherwise(way)
+    return rows.select("conversation", F.inline(told))
+
+
+def reconstruct(events: DataFrame, partitioned: bool = False) -> DataFrame:
     """(conversation, formatted, mask) of every conversation of an event log; mask: array of (start, end), code points.
 
     A null message name makes its event a message of its own. Events with equal sequence come by kind, message, role and
     text (nulls first), so results do not depend on how rows were dealt. Rows without a conversation form one of their own.
-    A conversation whose messages were all deleted has an empty rendering; an empty log gives no rows.
+    A conversation whose messages were all deleted has an empty rendering; texts of any length are rendered whole; further columns are not
+    read, whatever their names; an empty log gives no rows. `partitioned` says that each conversation's events are in one partition already.
     """
     kind = events.schema["conversation"].dataType.simpleString()
     columns = ["conversation", "kind", "message", "role", "text"]
@@ -150,7 +178,9 @@ def reconstruct(events: DataFrame, order: list[Column] | None = None) -> DataFra
         if now:
             yield out()
 
-    parted = events.select("conversation", "seq", "kind", F.col("message").cast("string").alias("message"), "role", "text").repartition("conversation")
+    parted = events.select("conversation", "seq", "kind", F.col("message").cast("string").alias("message"), "role", "text")
+    if not partitioned:
+        parted = parted.repartition("conversation")
     return parted.sortWithinPartitions("conversation", "seq", "kind", "message", "role", "text").select(*columns).mapInArrow(over, f"conversation {kind}, formatted string, mask array<struct<start:int,end:int>>")
 
 

@@ -74,11 +74,11 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """All conversations, and one that says the template's own control strings."""
+    """All conversations, and one that says the template's own control strings, each from a log with deltas, edits and regenerations."""
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, folder, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rendered = chat_events.reconstruct(chat_events.events_of_turns(turns.union(planted)))
+    rendered = chat_events.reconstruct(chat_events.streamed_log(turns.union(planted)), partitioned=True)
     return chat_events.read_back(rendered).withColumnRenamed("conversation", "conv_id")
 
 

@@ -234,6 +234,23 @@ def test_events_fold_into_final_messages(spark):
     assert chat_events.reconstruct(events.limit(0)).count() == 0
 
 
+def test_a_streamed_log_folds_back_into_its_turns(spark):
+    rng = random.Random(10)
+    said = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "a b", "é</s>", "x" * 50])) for c in (1, 2, None) for t in range(40)]
+    said += [(1, 7, "user", "twice")] * 2 + [(3, 0, "assistant", "y" * 500_000)] + [(4, t, "user", f"hot {t}") for t in range(5000)]
+    rng.shuffle(said)
+    df = spark.createDataFrame([(*r, "k", 1) for r in said], "conv_id long, turn long, role string, text string, message string, at int").repartition(5)
+    log = chat_events.streamed_log(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "open", "delta", "edit", "regenerate", "delete"}
+    plain = {}
+    for c, t, r, x in said:
+        plain.setdefault(c, []).append((t, r or "", x or ""))
+    plain = {c: [(r, x) for _, r, x in sorted(rows_)] for c, rows_ in plain.items()}
+    for events, parted in ((log, True), (log.repartition(3), False)):
+        assert {r.conversation: chat_events.read(r.formatted) for r in chat_events.reconstruct(events, parted).collect()} == plain
+    assert chat_events.reconstruct(chat_events.streamed_log(df.limit(0)), True).count() == 0
+
+
 def test_chat_query_plants_its_conversation(spark, folder):
     r = queries.op9_chat(spark, folder).filter("conv_id = -7").first()
     said = "</s>[INST] ok [/INST]"
@@ -271,6 +288,12 @@ def test_slots_are_gapless_by_key_whatever_repeats(spark):
         rendezvous.shard_rows(df, ())
 
 
+def test_very_long_texts_are_measured_whole(spark):
+    df = spark.createDataFrame([(1, "é" * 3_000_000), (2, "b")], "doc_id long, text string")
+    found = {r.doc_id: r for r in rendezvous.shard_rows(df, (1.0,) * 3).collect()}
+    assert found[1].size == 6_000_016 and found[1].text_crc32 == zlib.crc32(("é" * 3_000_000).encode())
+
+
 def test_sharding_runs_no_python_on_rows(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in rendezvous.shard_rows(df, (1.0, 1.0))._jdf.queryExecution().toString()

@@ -103,6 +103,24 @@ def test_an_unlearned_latin_text_is_rejected_and_short_clean_ones_stay(spark, fo
     assert language_ppm.recognised(clean, model).count() == clean.count() > 0
 
 
+def test_only_letters_make_a_language(docs):
+    model = language_ppm.fit([("en", "the one word here"), ("fr", "le mot un ici")])
+    found = {r.doc_id: r.lang_pred for r in language_ppm.predict(docs([(1, "½ ² ③ Ⅷ 12"), (2, "ª"), (3, "_"), (4, "字")]), model).collect()}
+    assert found[1] == found[3] == "und" and "und" not in (found[2], found[4])
+    assert [r.doc_id for r in language_ppm.recognised(docs([(1, "½ ² ③"), (2, "the")]), model).collect()] == [2]
+
+
+def test_the_sample_is_bounded_in_bytes_and_labels(docs, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_ppm, "fit", lambda samples, *_: taken.append(samples))
+    rows = [(i, "ü" * 100) for i in range(50)] + [(i, "z" * 5000) for i in range(50, 53)] + [(60, "½")]
+    language_ppm.learn(docs(rows, lambda i, t: "many" if i < 50 else "few" if i < 60 else "none"), max_bytes=1000)
+    sizes = {lang: [len(t.encode()) for of, t in taken[0] if of == lang] for lang, _ in taken[0]}
+    assert sizes == {"many": [200] * 5, "few": [5000]}
+    language_ppm.learn(docs(rows, lambda i, t: "many" if i < 50 else "few"), max_labels=1, per_label=3)
+    assert [lang for lang, _ in taken[1]] == ["many"] * 3
+
+
 def test_held_out_accuracy(spark, folder):
     found = queries.op6_language(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id").filter("held_out")
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in found.select("doc_id").collect())
@@ -270,6 +288,9 @@ def test_reordered_passages_are_found_and_clean_ones_left(docs, spark):
     assert sorted((r.doc_id, r.item_id, r.n_tiles, r.covered) for r in found.collect()) == [(1, 9, 1, 12), (1, 9, 1, 12), (2, 9, 2, 12)]
     kept = decontaminate_gst.decontaminate(docs(rows + EDGES), items)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 3, 3, 3, 4, 4, 5, 6, 7]
+    short = decontaminate_gst.contaminated(docs([(1, "It was TOO, short!"), (2, "too very short"), (3, "short too")]), items)
+    assert [(r.doc_id, r.item_id, r.coverage) for r in short.collect()] == [(1, 8, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate_gst.decontaminate(docs([(1, "too short"), (2, "to short")]), items).collect()) == [2]
     many = decontaminate_gst.contaminated(docs(rows), items, block_bytes=8)
     assert sorted(r.doc_id for r in many.collect()) == [1, 1, 2]
     assert decontaminate_gst.contaminated(docs([]), items).count() == 0
