@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,12 +12,22 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one that goes with the process, but
+    only for a local master: on a cluster each executor would write to its own disk, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+    if master not in _OWN:
+        made = tempfile.mkdtemp(prefix="attestra-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _OWN[master] = f"file://{made}"
+    return _OWN[master]
+
+
+_OWN: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps (every node hooks its larger, then its smaller neighbours to the least
     one it sees) until the edge set is a forest of stars. Each step is an aggregation with map-side minima and one
     equi-join that adaptive execution can split, so a component of any size never meets in one task; each round is
-    written to the shared folder. Self loops and null ends are ignored; an empty input gives an empty result.
+    written to the shared folder. Self loops and null ends are ignored; an empty input gives an empty result. An edge set that has not settled
+    after `max_rounds` (the rounds needed grow with the logarithm of the nodes) is an error, not a result.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -58,9 +71,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for k in range(max_rounds):
         links = materialize(clean(star(down(clean(star(both(links), large=True))), large=False)), f"round{k}")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

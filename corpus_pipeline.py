@@ -18,22 +18,32 @@ from attestra.llm.common import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Near copies: four fingerprints of word pairs for each text. One of four-word shingles, as op4's contract has it, finds few texts that share
+#: four fifths of their five-word shingles (README).
+SHINGLE, DRAWS = 2, 4
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is learned from all labelled ones, relabelled with it. Null and letterless texts go, as do
+    those that no language predicts; repeated rows and rows without a doc_id stay; no rows give none."""
     docs = docs.select(*COLUMNS)
     return language_ppm.recognised(docs, language_ppm.learn(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_bytes.representatives(docs.select(*COLUMNS))
+    """Of each group of linked documents the one with the least doc_id, unchanged. Empty and null texts are one group; of
+    repeated rows one stays; rows without a doc_id stay; no rows give none."""
+    return simhash_bytes.representatives(docs.select(*COLUMNS), words=SHINGLE, draws=DRAWS)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole, in part or reordered, unchanged. Null and empty texts hold none; an empty
+    benchmark drops nothing."""
     return decontaminate_gst.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and n_chars counted anew; null texts stay as they are."""
     return pii_semicrf.mask(docs.select(*COLUMNS), length="n_chars")
 
 
