@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.sizes import broadcast_if_small
 
 Goal = tuple[str, tuple[str, ...]]
 
@@ -68,7 +67,7 @@ def query(facts: DataFrame, goals: Sequence[Goal], outputs: Sequence[str], nogoo
     found = environments(facts, goals)
     if nogoods is not None:
         hit = F.size(F.array_except("nogood", "monomial")) == 0
-        found = found.join(broadcast_if_small(nogoods), hit, "left_anti")
+        found = found.join(nogoods, hit, "left_anti")
     grouped = found.groupBy(*outputs).agg(F.array_sort(F.collect_set("monomial")).alias("monomials"))
     return grouped.withColumn("support", F.size("monomials"))
 
@@ -111,11 +110,16 @@ def certain(found: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def mediators(edges: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
     """edges: src, dst, fact_id, both ways. Two-hop paths left - mediator - right by two different facts, left < right,
-    that no exclusion forbids."""
-    a = edges.select(F.col("src").alias("left"), F.col("dst").alias("mediator"), F.col("fact_id").alias("fa"))
-    b = edges.select(F.col("src").alias("mediator"), F.col("dst").alias("right"), F.col("fact_id").alias("fb"))
-    paths = a.join(b, "mediator").filter((F.col("left") < F.col("right")) & (F.col("fa") != F.col("fb")))
-    found = paths.groupBy("left", "right").agg(F.count_distinct("mediator").alias("mediators"), F.count("*").alias("paths"))
+    that no exclusion forbids. Facts are counted for each end and mediator before ends are paired, so a hub costs the pairs of its neighbours,
+    not those of its facts; a path whose two facts are one is taken off again."""
+    out = edges.groupBy(F.col("src").alias("left"), F.col("dst").alias("mediator")).agg(F.count("fact_id").alias("nl"))
+    back = edges.groupBy(F.col("src").alias("mediator"), F.col("dst").alias("right")).agg(F.count("fact_id").alias("nr"))
+    pairs = out.join(back, "mediator").filter(F.col("left") < F.col("right"))
+    a = edges.select(F.col("src").alias("left"), F.col("dst").alias("mediator"), "fact_id")
+    b = edges.select(F.col("src").alias("mediator"), F.col("dst").alias("right"), "fact_id")
+    same = a.join(b, ["mediator", "fact_id"]).filter(F.col("left") < F.col("right")).groupBy("left", "right", "mediator").agg(F.count("*").alias("same"))
+    paths = pairs.join(same, ["left", "right", "mediator"], "left").withColumn("paths", F.col("nl") * F.col("nr") - F.coalesce("same", F.lit(0)))
+    found = paths.filter("paths > 0").groupBy("left", "right").agg(F.count("*").alias("mediators"), F.sum("paths").alias("paths"))
     return found if forbidden is None else found.join(forbidden, ["left", "right"], "left_anti")
 
 

@@ -13,25 +13,31 @@ from attestra.functions import text as T
 from attestra.functions.outcome import plain
 from attestra.functions.units import number, singular, unit_table
 
-PATTERN = r"([0-9][0-9,]*(?:\.[0-9]+)?|\$[0-9][0-9,]*(?:\.[0-9]+)?) ?([A-Za-z]+)?"
-
-
-def atoms(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(fact_id, keep, sentence, position, value, unit, dimension, base_value, hedged, negative, question) of every number with a known unit."""
-    spark = docs.sparkSession
-    rows = docs.select("fact_id", *(keep or []), F.posexplode(T.sentences(F.col("text"))).alias("sentence", "said"))
-    words = T.tokens(F.col("said"))
-    flagged = rows.select("*", T.has_any(words, T.HEDGES).alias("hedged"), T.has_any(words, T.NEGATIONS).alias("negative"), F.col("said").endswith("?").alias("question"))
-    found = flagged.select("*", F.posexplode(F.regexp_extract_all("said", F.lit(PATTERN), F.lit(0))).alias("position", "match"))
-    amount = F.regexp_extract("match", PATTERN, 1)
-    money = amount.startswith("$")
-    parsed = found.select(
-        "fact_id", *(keep or []), "sentence", "said", "position", "hedged", "negative", "question",
-        number(F.regexp_replace(amount, r"\$", "")).alias("value"),
-        F.when(money, F.lit("USD")).otherwise(singular(F.regexp_extract("match", PATTERN, 2))).alias("unit"),
-    )
-    known = parsed.join(F.broadcast(unit_table(spark)), "unit")
-    return known.withColumn("base_value", (F.col("value") * F.col("factor")).cast("decimal(38,8)")).drop("factor")
+PATTERN = r"(?:[0-9][0-9,]*(?:\.[0-9]+)?|\$[0-9][0-9,]*(?:\.[0-9]+)?) ?(?:[A-Za-z]+)?"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
+
+
+def atoms(docs: DataFrame, keep: list[str] | None = None, dimension: str | None = None) -> DataFrame:
+    """(fact_id, keep, sentence, position, value, unit, dimension, base_value, hedged, negative, question) of every number with a known unit,
+    or with one of a dimension.
+
+    Outer explodes, since inner ones are planned with a filter that runs the patterns once more. A match is cut into amount and unit without
+    a pattern, and amounts are read only where the unit is wanted.
+    """
+    units = unit_table(docs.sparkSession)
+    if dimension is not None:
+        units = units.filter(F.col("dimension") == dimension)
+    rows = docs.select("fact_id", *(keep or []), F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence", "said"))
+    numeric = F.col("said").rlike("[0-9]")
+    words = T.tokens(F.when(numeric, F.col("said")))
+    flagged = rows.select("*", T.has_any(words, T.HEDGES).alias("hedged"), T.has_any(words, T.NEGATIONS).alias("negative"), F.col("said").endswith("?").alias("question"), F.when(numeric, F.regexp_extract_all("said", F.lit(PATTERN), F.lit(0))).alias("matches"))
+    found = flagged.select("*", F.posexplode_outer("matches").alias("position", "match")).drop("matches")
+    amount = F.rtrim("match", F.lit(LETTERS))
+    unit = F.ltrim(F.substr("match", F.char_length(amount) + 1))
+    named = found.withColumn("amount", amount).withColumn("unit", F.when(F.col("amount").startswith("$"), F.lit("USD")).otherwise(singular(unit)))
+    known = named.join(F.broadcast(units), "unit")
+    known = known.withColumn("value", number(F.ltrim("amount", F.lit("$"))))
+    return known.withColumn("base_value", (F.col("value") * F.col("factor")).cast("decimal(38,8)")).drop("factor", "match", "amount")
 
 
 def convert(rows: DataFrame, target: str) -> DataFrame:
@@ -65,11 +71,12 @@ def slice_certificate(rows: DataFrame, by: list[str], unit: str, required: list[
 
 
 def convergent_sum(rows: DataFrame, terms: list[str], by: list[str]) -> DataFrame:
-    """Sums over the atoms that share at least 1, 2, ... terms; all thresholds must agree on value and witnesses."""
+    """Sums over the atoms that share at least 1, 2, ... terms; all thresholds must agree on value and witnesses (compared by their number and
+    the sum of their digests, so that no list of them is gathered)."""
     asked = F.array(*[F.lit(t) for t in terms])
     scored = rows.withColumn("overlap", F.size(F.array_intersect(T.tokens(F.col("said")), asked))).filter("overlap > 0")
     worlds = scored.withColumn("threshold", F.explode(F.sequence(F.lit(1), F.lit(len(terms))))).filter("overlap >= threshold")
-    each = worlds.groupBy(*by, "threshold").agg(F.sum("converted").alias("sum"), F.array_sort(F.collect_list("fact_id")).alias("ids"))
+    each = worlds.groupBy(*by, "threshold").agg(F.sum("converted").alias("sum"), F.struct(F.count("*"), F.sum(F.xxhash64("fact_id", "sentence", "position").cast("decimal(38,0)"))).alias("ids"))
     found = each.groupBy(*by).agg(F.count_distinct(F.struct("sum", "ids")).alias("worlds"), F.max_by("sum", -F.col("threshold")).alias("sum"))
     return found.select(*by, F.when(F.col("worlds") == 1, "resolved").otherwise("contested").alias("state"), F.when(F.col("worlds") == 1, plain(F.col("sum"))).alias("value"), "worlds")
 

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions.outcome import plain
-from attestra.functions.sizes import broadcast_if_small
 from attestra.functions.units import number
 
 
 def absent(docs: DataFrame, identifiers: DataFrame) -> DataFrame:
     """identifiers: identifier. Which no text of the corpus holds as a token: one scan for all of them."""
-    words = docs.select(F.explode(T.tokens(F.col("text"))).alias("identifier")).join(broadcast_if_small(identifiers), "identifier", "left_semi").distinct()
+    words = docs.select(F.explode(T.tokens(F.col("text"))).alias("identifier")).join(identifiers, "identifier", "left_semi").distinct()
     return identifiers.join(words.withColumn("_seen", F.lit(True)), "identifier", "left").select("identifier", F.col("_seen").isNull().alias("absent"))
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.sizes import broadcast_if_small
 
 
 def admit(declarations: DataFrame, sources: DataFrame, authorities: DataFrame) -> DataFrame:
@@ -18,7 +17,7 @@ def admit(declarations: DataFrame, sources: DataFrame, authorities: DataFrame) -
     source_sha256; authorities: adapter_id, schema_sha256, scopes, predicates. Every declaration with `rejected`: null, or why not."""
     known = sources.select("source_id", "content", "source_sha256")
     power = authorities.select("adapter_id", F.col("schema_sha256").alias("_schema"), "scopes", "predicates")
-    rows = declarations.join(known, "source_id", "left").join(broadcast_if_small(power), "adapter_id", "left")
+    rows = declarations.join(known, "source_id", "left").join(power, "adapter_id", "left")
     said = F.expr("substring(content, span_start + 1, span_end - span_start)")
     why = (
         F.when(F.col("content").isNull(), "unknown_source")

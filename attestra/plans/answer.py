@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions.outcome import no_ids
-from attestra.functions.sizes import broadcast_if_small
 from attestra.operators import facts as F_
 from attestra.operators import ranking, retrieval
 from attestra.plans.compiler import Program, compile_question
@@ -62,10 +61,10 @@ def evidence(docs: DataFrame, queries: DataFrame, documents: int = 8, sentences:
     best = ranking.top_k(retrieval.bm25_scores(docs, queries).withColumn("score", F.round("score", 9)), documents, ["query_id"]).select("query_id", "fact_id")
     said = retrieval.claims(docs.join(best.select("fact_id").distinct(), "fact_id", "left_semi")).join(best, "fact_id")
     asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    shared = said.join(broadcast_if_small(asked), "query_id").withColumn("score", F.size(F.array_intersect(T.tokens(F.col("text")), F.col("asked"))).cast("double")).filter("score > 0")
-    ranked = ranking.top_k(shared.withColumn("place", F.col("fact_id") * 1_000_000 + F.col("claim")), sentences, ["query_id"], "score", "place")
+    shared = said.join(asked, "query_id").withColumn("score", F.size(F.array_intersect(T.tokens(F.col("text")), F.col("asked"))).cast("double")).filter("score > 0")
+    ranked = ranking.top_k(shared.withColumn("place", F.struct("fact_id", "claim")), sentences, ["query_id"], "score", "place")
     costs = ranked.withColumn("cost", F.octet_length("text"))
-    kept = ranking.budget_fold(costs, ["query_id"], "cost", budget, "place")
-    shown = kept.select("query_id", "used", F.explode("fact_ids").alias("place")).join(ranked, ["query_id", "place"])
+    kept = ranking.budget_fold(costs, ["query_id"], "cost", budget, "rank")
+    shown = kept.select("query_id", "used", F.explode("fact_ids").alias("rank")).join(ranked, ["query_id", "rank"])
     listed = F.array_sort(F.collect_list(F.struct("rank", "fact_id", "text")))
     return shown.groupBy("query_id", "used").agg(listed.alias("x")).select("query_id", F.array_sort(F.array_distinct(F.transform("x", lambda r: r["fact_id"]))).alias("fact_ids"), "used", F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("evidence"))

@@ -36,24 +36,24 @@ def narrative_current_value(spark: SparkSession, folder: str) -> DataFrame:
 
 def narrative_components(spark: SparkSession, folder: str) -> DataFrame:
     """How many facts hang together through causes across all groups."""
-    f = tables.facts(spark, folder).filter("event_time < 19726")
+    f = tables.facts(spark, folder)
     edges = f.select(F.col("fact_id").alias("a"), F.explode("causes").alias("b")).join(f.select(F.col("fact_id").alias("b")), "b", "left_semi")
     return graphs.connected_components(edges).groupBy("root").agg(F.count("*").alias("facts"))
 
 
-COMPONENT_SQL = f"""WITH {tables.FACTS}, f AS (SELECT * FROM facts WHERE event_time < 19726), l AS (SELECT a.subject, a.fact_id, a.cause FROM f a JOIN f b ON a.cause = b.fact_id)
+COMPONENT_SQL = f"""WITH {tables.FACTS}, f AS (SELECT * FROM facts), l AS (SELECT a.subject, a.fact_id, a.cause FROM f a JOIN f b ON a.cause = b.fact_id)
 SELECT min(cause) AS root, count(DISTINCT x) AS facts FROM (SELECT subject, cause, fact_id AS x FROM l UNION ALL SELECT subject, cause, cause FROM l) GROUP BY subject"""
 
 
 def narrative_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Layers of the first facts by their causes, eight at most."""
-    f = tables.facts(spark, folder).filter("fact_id < 300")
+    """Layers of all facts by their causes, eight at most; longer chains are named, not followed."""
+    f = tables.facts(spark, folder)
     arrows = f.select(F.explode("causes").alias("src"), F.col("fact_id").alias("dst"))
     found = graphs.layers(f.select(F.col("fact_id").alias("node")), arrows, 8)
     return found.groupBy(F.coalesce(F.col("layer").cast("string"), F.lit("beyond")).alias("layer")).agg(F.count("*").alias("facts"))
 
 
-LAYER_SQL = f"WITH {tables.FACTS}, k AS (SELECT row_number() OVER (PARTITION BY subject ORDER BY fact_id) - 1 AS layer FROM facts WHERE fact_id < 300) SELECT CASE WHEN layer <= 8 THEN layer::VARCHAR ELSE 'beyond' END AS layer, count(*) AS facts FROM k GROUP BY 1"
+LAYER_SQL = f"WITH {tables.FACTS}, k AS (SELECT row_number() OVER (PARTITION BY subject ORDER BY fact_id) - 1 AS layer FROM facts) SELECT CASE WHEN layer <= 8 THEN layer::VARCHAR ELSE 'beyond' END AS layer, count(*) AS facts FROM k GROUP BY 1"
 
 
 def microcitations(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,13 +92,13 @@ SELECT ideal, first, second, score FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def flow_regulation(spark: SparkSession, folder: str) -> DataFrame:
-    li = tables.table(spark, folder, "lineitem").filter("l_suppkey < 20")
+    li = tables.table(spark, folder, "lineitem")
     q = F.col("l_quantity") / 50
     rows = li.groupBy("l_suppkey", "l_linenumber").agg(F.avg(q).alias("p1"), F.avg("l_discount").alias("p2"), F.max(q).alias("p3"), F.min(q).alias("p4"), F.avg(1 - q / 2).alias("s1"), F.max("l_tax").alias("s2"), F.avg(F.col("l_discount") * 10).alias("s3"), (F.count("*") % 7 == 0).alias("contradiction"), F.count("*").alias("coverage"), F.lit(0.0).alias("error"))
     return strategy.regulate(rows, ["l_suppkey"], "l_linenumber")
 
 
-FLOW_SQL = """WITH r AS (SELECT l_suppkey, l_linenumber, avg(l_quantity / 50) AS p1, avg(l_discount) AS p2, max(l_quantity / 50) AS p3, min(l_quantity / 50) AS p4, avg(1 - l_quantity / 50 / 2) AS s1, max(l_tax) AS s2, avg(l_discount * 10) AS s3, count(*) % 7 = 0 AS bad, count(*) AS coverage FROM lineitem WHERE l_suppkey < 20 GROUP BY 1, 2),
+FLOW_SQL = """WITH r AS (SELECT l_suppkey, l_linenumber, avg(l_quantity / 50) AS p1, avg(l_discount) AS p2, max(l_quantity / 50) AS p3, min(l_quantity / 50) AS p4, avg(1 - l_quantity / 50 / 2) AS s1, max(l_tax) AS s2, avg(l_discount * 10) AS s3, count(*) % 7 = 0 AS bad, count(*) AS coverage FROM lineitem GROUP BY 1, 2),
 c AS (SELECT *, round(sqrt((p1 * p1 + p2 * p2 + p3 * p3 + p4 * p4) / 4), 6) AS challenge, round(pow(s1 * s2 * s3, 1.0 / 3), 6) AS skill, coalesce(coverage < lag(coverage) OVER (PARTITION BY l_suppkey ORDER BY l_linenumber), false) AS worse FROM r)
 SELECT l_suppkey, l_linenumber, challenge, skill, CASE WHEN bad THEN 'abstain' WHEN worse THEN 'recruit' WHEN challenge - skill > 0.15 THEN 'anxiety' WHEN challenge - skill < -0.15 THEN 'boredom' ELSE 'flow' END AS regime FROM c"""
 

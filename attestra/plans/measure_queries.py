@@ -49,7 +49,7 @@ count(*) FILTER (WHERE hedged) AS hedged, count(*) FILTER (WHERE question) AS qu
 
 def unit_conversion_sum(spark: SparkSession, folder: str) -> DataFrame:
     """Hours of each topic's notes, minutes converted; topics with a hedge abstain."""
-    rows = measures.convert(measures.atoms(_notes(spark, folder), ["topic"]), "minute")
+    rows = measures.convert(measures.atoms(_notes(spark, folder), ["topic"], "time"), "minute")
     return measures.settle_sum(rows.filter("topic % 2 = 0 or not hedged"), ["topic"], "minute")
 
 
@@ -65,13 +65,16 @@ SLICE_SQL = f"WITH {NOTES} SELECT topic, count(*) AS scope_atoms, count(*) FILTE
 
 
 def convergent_threshold_sum(spark: SparkSession, folder: str) -> DataFrame:
-    """Driving hours under every threshold of shared terms."""
-    rows = measures.convert(measures.atoms(_notes(spark, folder), ["topic"]), "hour").filter("not hedged and not question")
-    few = rows.filter("fact_id % 97 = 0")
-    return measures.convergent_sum(few, ["loading", "driving", "took"], ["topic"])
+    """Each order's hours under every threshold of shared terms; second lines tell of packing, so orders that have one and others are contested."""
+    notes = _notes(spark, folder).withColumn("order", F.floor(F.col("fact_id") / 10))
+    notes = notes.withColumn("text", F.when(F.col("fact_id") % 10 == 2, F.replace("text", F.lit("Loading"), F.lit("Packing"))).otherwise(F.col("text")))
+    rows = measures.convert(measures.atoms(notes, ["order"], "time"), "hour").filter("not hedged and not question")
+    return measures.convergent_sum(rows, ["loading", "driving", "took"], ["order"])
 
 
-CONVERGE_SQL = f"""WITH {NOTES} SELECT topic, 'resolved' AS state, {_P.format('sum(CASE WHEN unit = ' + "'minute'" + ' THEN round(v / 60, 6) ELSE v END)::DECIMAL(38,6)::VARCHAR')} AS value, 1::BIGINT AS worlds FROM a WHERE unit IN ('hour', 'minute') AND NOT hedged AND NOT question AND fact_id % 97 = 0 GROUP BY 1"""
+CONVERGE_SQL = f"""WITH {NOTES}, o AS (SELECT fact_id // 10 AS "order", fact_id, unit, CASE WHEN unit = 'minute' THEN round(v / 60, 6) ELSE v END AS v, CASE WHEN fact_id % 10 = 2 THEN 2 ELSE 3 END AS overlap FROM a WHERE unit IN ('hour', 'minute') AND NOT hedged AND NOT question),
+e AS (SELECT "order", t, sum(v)::DECIMAL(38,6) AS s, list((fact_id, unit) ORDER BY fact_id, unit) AS ids FROM o, range(1, 4) r(t) WHERE overlap >= t GROUP BY 1, 2), w AS (SELECT "order", count(DISTINCT (s, ids)) AS worlds, arg_min(s, t) AS s FROM e GROUP BY 1)
+SELECT "order", CASE WHEN worlds = 1 THEN 'resolved' ELSE 'contested' END AS state, CASE WHEN worlds = 1 THEN {_P.format('s::VARCHAR')} END AS value, worlds FROM w"""
 
 
 def product_sum(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +83,7 @@ def product_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def average_closed_roles(spark: SparkSession, folder: str) -> DataFrame:
-    li = tables.table(spark, folder, "lineitem").filter("l_orderkey % 3 = 0").withColumn("line", F.col("l_linenumber").cast("string"))
+    li = tables.table(spark, folder, "lineitem").withColumn("line", F.col("l_linenumber").cast("string"))
     return measures.average_closed(li, ["l_orderkey"], "line", ["1", "2"], "l_quantity")
 
 
@@ -168,14 +171,14 @@ def json_pointer_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 def regex_log_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Values and clocks out of log lines, one log for each user."""
-    e = tables.table(spark, folder, "events").filter("event_id < 4000")
+    e = tables.table(spark, folder, "events")
     line = F.concat_ws(" ", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), "event_type", F.concat(F.lit("n="), F.col("event_id").cast("string")))
     logs = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("log"))
     found = adapters.log_facts(logs, "user_id", "log", r"^(\S+) error n=([0-9]+)$", 2, 1)
     return found.select("user_id", F.col("line").cast("int").alias("line"), F.col("start").cast("int").alias("start"), "value", F.unix_seconds("clock").alias("clock"))
 
 
-LOG_SQL = """WITH l AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS clock, strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || event_type || ' n=' || event_id AS line FROM events WHERE event_id < 4000),
+LOG_SQL = """WITH l AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS clock, strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || event_type || ' n=' || event_id AS line FROM events),
 n AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(sum(length(line) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, i::INT AS line, start::INT AS start, event_id::VARCHAR AS value, clock FROM n WHERE event_type = 'error'"""
 
@@ -198,17 +201,18 @@ def connector_detection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence_block(spark: SparkSession, folder: str) -> DataFrame:
-    p = tables.table(spark, folder, "pages").filter("page_id < 40")
-    found = adapters.evidence_block(p.withColumn("g", F.col("page_id") % 4), ["g"], ["page_id"], "html")
+    """All pages, eight to a block."""
+    p = tables.table(spark, folder, "pages")
+    found = adapters.evidence_block(p.withColumn("g", F.floor(F.col("page_id") / 8)), ["g"], ["page_id"], "html")
     return found.select("g", F.sha2("block", 256).alias("digest"), F.char_length("block").alias("chars"))
 
 
 def ledger_hash_chain(spark: SparkSession, folder: str) -> DataFrame:
-    e = tables.table(spark, folder, "events").filter("event_id < 3000")
+    e = tables.table(spark, folder, "events")
     return adapters.hash_chain(e, ["user_id"], "event_id", "event_type")
 
 
-CHAIN_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id < 3000),
+CHAIN_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 c AS (SELECT user_id, event_id, i, sha256('|' || event_id || '|' || event_type) AS digest FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, sha256(c.digest || '|' || e.event_id || '|' || e.event_type) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)
 SELECT user_id, event_id, digest FROM c"""
 
@@ -281,7 +285,7 @@ QUERIES = {
     "product_sum": (product_sum, "SELECT p_brand, sum(l_quantity::DECIMAL(18,2) * p_retailprice::DECIMAL(18,2))::DECIMAL(38,2)::VARCHAR AS total, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"),
     "average_closed_roles": (
         average_closed_roles,
-        "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS k, avg(l_quantity) AS a FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber IN (1, 2) GROUP BY 1) SELECT l_orderkey, CASE WHEN n = 2 AND k = 2 THEN 'resolved' ELSE 'abstain' END AS state, CASE WHEN n = 2 AND k = 2 THEN round(a, 6)::VARCHAR END AS value, CASE WHEN n = 2 AND k = 2 THEN 'closed_role_mean' ELSE 'role_not_unique' END AS reason FROM g",
+        "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS k, avg(l_quantity) AS a FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1) SELECT l_orderkey, CASE WHEN n = 2 AND k = 2 THEN 'resolved' ELSE 'abstain' END AS state, CASE WHEN n = 2 AND k = 2 THEN round(a, 6)::VARCHAR END AS value, CASE WHEN n = 2 AND k = 2 THEN 'closed_role_mean' ELSE 'role_not_unique' END AS reason FROM g",
     ),
     "binary_difference_margin": (
         binary_difference_margin,
@@ -310,7 +314,7 @@ QUERIES = {
     "connector_detection": (connector_detection, "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'postgresql' WHEN 1 THEN 'duckdb' WHEN 2 THEN 'ambiguous' ELSE 'redis' END AS kind FROM pages"),
     "evidence_block": (
         evidence_block,
-        "WITH b AS (SELECT page_id % 4 AS g, string_agg('<evidence>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</evidence>', chr(10) ORDER BY page_id) AS block FROM pages WHERE page_id < 40 GROUP BY 1) SELECT g, sha256(block) AS digest, length(block)::INT AS chars FROM b",
+        "WITH b AS (SELECT page_id // 8 AS g, string_agg('<evidence>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</evidence>', chr(10) ORDER BY page_id) AS block FROM pages GROUP BY 1) SELECT g, sha256(block) AS digest, length(block)::INT AS chars FROM b",
     ),
     "ledger_hash_chain": (ledger_hash_chain, CHAIN_SQL),
     "html_text_scan": (html_text_scan, "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href='))::INT AS links, length(html)::INT AS chars FROM pages"),

@@ -57,33 +57,33 @@ PURGE_SQL = f"WITH {tables.FACTS} SELECT predicate, count(*) AS facts FROM facts
 
 def corpus_nonmembership(spark: SparkSession, folder: str) -> DataFrame:
     """Which of the benchmark's words no document holds."""
-    words = tables.query_texts(spark, folder).filter("query_id < 25").select(F.explode(T.tokens(F.col("text"))).alias("identifier")).distinct()
+    words = tables.query_texts(spark, folder).select(F.explode(T.tokens(F.col("text"))).alias("identifier")).distinct()
     return passages.absent(tables.documents(spark, folder), words)
 
 
-ABSENT_SQL = "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS identifier FROM benchmark WHERE item_id < 25), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS identifier FROM documents) SELECT identifier, identifier NOT IN (SELECT identifier FROM d) AS absent FROM w"
+ABSENT_SQL = "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS identifier FROM benchmark), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS identifier FROM documents) SELECT identifier, identifier NOT IN (SELECT identifier FROM d) AS absent FROM w"
 
 
 def year_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Years from each customer's only order year to the last one, as sentences tell them."""
-    o = tables.table(spark, folder, "orders").filter("o_custkey % 5 = 0")
+    o = tables.table(spark, folder, "orders")
     year = F.year("o_orderdate").cast("string")
     said = o.select("o_custkey", F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("It began in "), year, F.lit("."))).otherwise(F.concat(F.lit("It closed in "), year, F.lit("."))).alias("text"))
     return passages.year_interval(said, ["o_custkey"], ("began",), ("closed",))
 
 
-YEAR_SQL = """WITH g AS (SELECT o_custkey, count(DISTINCT year(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') AS a, count(DISTINCT year(o_orderdate)) FILTER (WHERE o_orderstatus <> 'F') AS b, min(year(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') AS s, min(year(o_orderdate)) FILTER (WHERE o_orderstatus <> 'F') AS e FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1)
+YEAR_SQL = """WITH g AS (SELECT o_custkey, count(DISTINCT year(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') AS a, count(DISTINCT year(o_orderdate)) FILTER (WHERE o_orderstatus <> 'F') AS b, min(year(o_orderdate)) FILTER (WHERE o_orderstatus = 'F') AS s, min(year(o_orderdate)) FILTER (WHERE o_orderstatus <> 'F') AS e FROM orders GROUP BY 1)
 SELECT o_custkey, CASE WHEN a <> 1 OR b <> 1 THEN 'abstain' WHEN e < s THEN 'contested' ELSE 'resolved' END AS state, CASE WHEN a = 1 AND b = 1 AND e >= s THEN (e - s)::VARCHAR END AS value FROM g"""
 
 
 def coordinated_count(spark: SparkSession, folder: str) -> DataFrame:
-    li = tables.table(spark, folder, "lineitem").filter("l_orderkey % 10 = 0")
+    li = tables.table(spark, folder, "lineitem")
     q = F.col("l_quantity").cast("int").cast("string")
     said = li.select("l_orderkey", F.concat(F.lit("a box, "), q, F.lit(" bolts and "), F.when(F.col("l_linenumber") == 7, F.lit("some nuts")).otherwise(F.lit("two nuts"))).alias("said"))
     return passages.coordinated_count(said, ["l_orderkey"], "said")
 
 
-COORDINATED_SQL = "WITH d AS (SELECT DISTINCT l_orderkey, l_quantity::INT AS q, l_linenumber = 7 AS odd FROM lineitem WHERE l_orderkey % 10 = 0) SELECT l_orderkey, CASE WHEN bool_or(odd) THEN 'abstain' ELSE 'resolved' END AS state, CASE WHEN NOT bool_or(odd) THEN sum(q + 3)::BIGINT::VARCHAR END AS value FROM d GROUP BY 1"
+COORDINATED_SQL = "WITH d AS (SELECT DISTINCT l_orderkey, l_quantity::INT AS q, l_linenumber = 7 AS odd FROM lineitem) SELECT l_orderkey, CASE WHEN bool_or(odd) THEN 'abstain' ELSE 'resolved' END AS state, CASE WHEN NOT bool_or(odd) THEN sum(q + 3)::BIGINT::VARCHAR END AS value FROM d GROUP BY 1"
 
 
 def classed_money(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,12 +114,12 @@ LEDGER_SQL = "WITH o AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m')
 
 def ledger_sum_veto(spark: SparkSession, folder: str) -> DataFrame:
     """Order totals by customer; two orders of one price and nearly one text abstain."""
-    li = tables.table(spark, folder, "lineitem").filter("l_suppkey < 30")
+    li = tables.table(spark, folder, "lineitem")
     rows = li.select("l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"), F.col("l_quantity").alias("value"), F.concat_ws(" ", F.lit("sold lot"), F.col("l_orderkey").cast("string"), F.lit("of part"), F.col("l_partkey").cast("string")).alias("said"))
     return passages.ledger_sum(rows, ["l_suppkey"], "key", "value", 0.75)
 
 
-VETO_SQL = """WITH r AS (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_suppkey < 30), f AS (SELECT l_suppkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, min(l_quantity) AS v, any_value(l_orderkey) AS o, any_value(l_partkey) AS p FROM r GROUP BY 1, 2),
+VETO_SQL = """WITH r AS (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem), f AS (SELECT l_suppkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, min(l_quantity) AS v, any_value(l_orderkey) AS o, any_value(l_partkey) AS p FROM r GROUP BY 1, 2),
 w AS (SELECT *, list_distinct(['sold', 'lot', 'of', 'part', o::VARCHAR, p::VARCHAR]) AS ws FROM f), t AS (SELECT DISTINCT a.l_suppkey FROM w a JOIN w b ON a.l_suppkey = b.l_suppkey AND a.v = b.v AND a.key < b.key WHERE len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) >= 0.75)
 SELECT l_suppkey, CASE WHEN l_suppkey IN (SELECT l_suppkey FROM t) THEN 'abstain' ELSE 'resolved' END AS state, CASE WHEN l_suppkey NOT IN (SELECT l_suppkey FROM t) THEN sum(v)::BIGINT::VARCHAR END AS value, count(*) AS events FROM f GROUP BY 1"""
 

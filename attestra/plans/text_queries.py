@@ -20,11 +20,12 @@ def _ranked(score: str, k: int, extra: str = "") -> str:
     return f"SELECT query_id, fact_id, {score} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM scored) WHERE rank <= {k} {extra}"
 
 
-def _bm25_sql(docs: str = "docs", features: str = TOK, terms: str = TERMS, name: str = "scored", digits: int | None = None) -> str:
+def _bm25_sql(docs: str = "docs", features: str = TOK, terms: str = TERMS, name: str = "scored", digits: int | None = None, x: str = "") -> str:
+    """x: a prefix of the common table names, for a second use in one statement."""
     shown_ = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))"
-    return f"""{terms}, t AS (SELECT fact_id, {features} AS ws FROM {docs}), st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM t),
-p AS (SELECT fact_id, len(ws) AS length, unnest(ws) AS token FROM t), tf AS (SELECT fact_id, length, token, count(*) AS tf FROM p WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2, 3), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-{name} AS (SELECT query_id, fact_id, {shown_ if digits is None else f'round({shown_}, {digits})'} AS score FROM tf JOIN qt USING (token) JOIN df USING (token), st GROUP BY 1, 2)"""
+    return f"""{terms}, {x}t AS (SELECT fact_id, {features} AS ws FROM {docs}), {x}st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM {x}t),
+{x}p AS (SELECT fact_id, len(ws) AS length, unnest(ws) AS token FROM {x}t), {x}tf AS (SELECT fact_id, length, token, count(*) AS tf FROM {x}p WHERE token IN (SELECT token FROM {x}qt) GROUP BY 1, 2, 3), {x}df AS (SELECT token, count(*) AS df FROM {x}tf GROUP BY 1),
+{name} AS (SELECT query_id, fact_id, {shown_ if digits is None else f'round({shown_}, {digits})'} AS score FROM {x}tf JOIN {x}qt USING (token) JOIN {x}df USING (token), {x}st GROUP BY 1, 2)"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -123,31 +124,32 @@ CLAIMS_SQL = f"WITH {TURNS}, s AS (SELECT fact_id, list_filter(list_transform(re
 
 
 def channel_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted word and word-pair channels over conversation turns."""
-    asked = tables.query_texts(spark, folder).filter("query_id < 10")
+    """Weighted word, trigram and word-pair channels over conversation turns, for every benchmark item."""
+    asked = tables.query_texts(spark, folder)
     found = retrieval.channels(tables.turns(spark, folder).select("fact_id", "text"), asked)
-    return _rounded(retrieval.channel_rank(found, 10, (0.6, 0.0, 0.4))).select("query_id", "fact_id", "score", "rank")
+    return _rounded(retrieval.channel_rank(found, 10, (0.5, 0.3, 0.2))).select("query_id", "fact_id", "score", "rank")
 
 
 _PAIRS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
-CHANNEL_SQL = f"""WITH {TURNS}, docs AS (SELECT fact_id, text FROM turns), asked AS (SELECT item_id::BIGINT AS query_id, text FROM benchmark WHERE item_id < 10), {_bm25_sql(name='lex')},
+_GRAMS = f"list_distinct(flatten(list_transform({TOK}, lambda w: list_transform(range(1, greatest(length(w), 1) + 1), lambda i: substr('^' || w || '$', i, 3)))))"
+CHANNEL_SQL = f"""WITH {TURNS}, docs AS (SELECT fact_id, text FROM turns), asked AS (SELECT item_id::BIGINT AS query_id, text FROM benchmark), {_bm25_sql(name='lex')}, {_bm25_sql(features=_GRAMS, terms=f'gqt AS (SELECT DISTINCT query_id, unnest({_GRAMS}) AS token FROM asked)', name='sub', x='g')},
 qp AS (SELECT query_id, unnest({_PAIRS}) AS pair FROM (SELECT query_id, {TOK} AS ws FROM asked)), dp AS (SELECT fact_id, unnest({_PAIRS}) AS pair FROM t), rel AS (SELECT query_id, fact_id, count(*)::DOUBLE AS r FROM qp JOIN dp USING (pair) GROUP BY 1, 2),
-c AS (SELECT query_id, fact_id, coalesce(score, 0) AS l, coalesce(r, 0) AS r FROM lex FULL JOIN rel USING (query_id, fact_id)), m AS (SELECT query_id, max(l) AS ml, max(r) AS mr FROM c GROUP BY 1),
-scored AS (SELECT query_id, fact_id, round(0.6 * l / CASE WHEN ml > 0 THEN ml ELSE 1 END + 0.4 * r / CASE WHEN mr > 0 THEN mr ELSE 1 END, 9) AS score FROM c JOIN m USING (query_id))
+c AS (SELECT query_id, fact_id, coalesce(lex.score, 0) AS l, coalesce(sub.score, 0) AS s, coalesce(r, 0) AS r FROM lex FULL JOIN sub USING (query_id, fact_id) FULL JOIN rel USING (query_id, fact_id)), m AS (SELECT query_id, max(l) AS ml, max(s) AS ms, max(r) AS mr FROM c GROUP BY 1),
+scored AS (SELECT query_id, fact_id, round(0.5 * l / CASE WHEN ml > 0 THEN ml ELSE 1 END + 0.3 * s / CASE WHEN ms > 0 THEN ms ELSE 1 END + 0.2 * r / CASE WHEN mr > 0 THEN mr ELSE 1 END, 9) AS score FROM c JOIN m USING (query_id))
 {_ranked('round(score, 6)', 10)}"""
 
 
 def conformal_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose BM25 score is credible against a calibration sample of scores, at most ten a query."""
+    """Documents whose BM25 score is credible against the scores of the queries set apart for calibration (a quarter), at most ten for each other query."""
     scored = retrieval.bm25_scores(_docs(spark, folder), tables.query_texts(spark, folder)).withColumn("score", F.round("score", 9))
-    calibration = scored.filter("query_id % 4 = 0 and fact_id % 10 = 0").select("score")
-    found = retrieval.conformal(scored.filter("query_id % 4 = 1"), calibration, 0.9, 10)
+    calibration = scored.filter("query_id % 4 = 0").select("score")
+    found = retrieval.conformal(scored.filter("query_id % 4 != 0"), calibration, 0.9, 10)
     return found.select("query_id", "fact_id", "rank", F.round("p_value", 6).alias("p_value"))
 
 
-CONFORMAL_SQL = f"""WITH {DOCS}, {_bm25_sql(digits=9)}, c AS (SELECT score FROM scored WHERE query_id % 4 = 0 AND fact_id % 10 = 0), n AS (SELECT count(*) AS n FROM c),
-pv AS (SELECT query_id, fact_id, score, (1.0 + (SELECT count(*) FROM c WHERE c.score <= s.score)) / (n + 1.0) AS p_value FROM scored s, n WHERE query_id % 4 = 1)
-SELECT query_id, fact_id, rank, round(p_value::DOUBLE, 6) AS p_value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM pv WHERE p_value > 0.9) WHERE rank <= 10"""
+CONFORMAL_SQL = f"""WITH {DOCS}, {_bm25_sql(digits=9)}, u AS (SELECT score, query_id, fact_id, 0 AS n FROM scored WHERE query_id % 4 <> 0 UNION ALL SELECT score, NULL, NULL, 1 FROM scored WHERE query_id % 4 = 0),
+pv AS (SELECT query_id, fact_id, score, (1.0 + sum(n) OVER (ORDER BY score RANGE UNBOUNDED PRECEDING)) / (sum(n) OVER () + 1.0) AS p_value FROM u)
+SELECT query_id, fact_id, rank, round(p_value::DOUBLE, 6) AS p_value FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM pv WHERE query_id IS NOT NULL AND p_value > 0.9) WHERE rank <= 10"""
 
 
 def _turn_seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,13 +196,14 @@ JACCARD_SQL = f"WITH {TURNS}, w AS (SELECT fact_id, session_id, list_distinct({T
 
 
 def set_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    words = lambda df, key: df.select(F.col(key).alias("doc"), F.explode(T.tokens(F.col("text"))).alias("token"))
-    return competition.set_coverage(words(_docs(spark, folder), "fact_id"), words(tables.query_texts(spark, folder).filter("query_id = 3"), "query_id"))
+    """How much of each benchmark item's words every document covers that holds one of them."""
+    words = lambda df, key, name: df.select(F.col(key).alias(name), F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("token")).filter("token IS NOT NULL")
+    return competition.set_coverage(words(_docs(spark, folder), "fact_id", "doc"), words(tables.query_texts(spark, folder), "query_id", "query_id"))
 
 
-COVERAGE_SQL = f"""WITH {DOCS}, w AS (SELECT DISTINCT fact_id AS doc, unnest({TOK}) AS token FROM docs), q AS (SELECT DISTINCT unnest({TOK}) AS token FROM asked WHERE query_id = 3), n AS (SELECT count(DISTINCT doc) AS n FROM w), df AS (SELECT token, count(*) AS df FROM w GROUP BY 1),
-x AS (SELECT token, ln((n + 1) / (coalesce(df, 0) + 1)) AS w FROM q LEFT JOIN df USING (token), n), a AS (SELECT sum(w) AS a FROM x), h AS (SELECT doc, sum(x.w) AS w, count(*) AS support FROM w JOIN x USING (token) GROUP BY 1)
-SELECT doc, round(h.w / a, 6) AS coverage, support, round(h.w / a * (1 + 0.05 * ln(1 + support)), 6) AS score FROM h, a"""
+COVERAGE_SQL = f"""WITH {DOCS}, w AS (SELECT DISTINCT fact_id AS doc, unnest({TOK}) AS token FROM docs), q AS (SELECT DISTINCT query_id, unnest({TOK}) AS token FROM asked), n AS (SELECT count(DISTINCT doc) AS n FROM w), df AS (SELECT token, count(*) AS df FROM w GROUP BY 1),
+x AS (SELECT query_id, token, ln((n + 1) / (coalesce(df, 0) + 1)) AS w FROM q LEFT JOIN df USING (token), n), a AS (SELECT query_id, sum(w) AS a FROM x GROUP BY 1), h AS (SELECT query_id, doc, sum(x.w) AS w, count(*) AS support FROM w JOIN x USING (token) GROUP BY 1, 2)
+SELECT query_id, doc, round(h.w / a, 6) AS coverage, support, round(h.w / a * (1 + 0.05 * ln(1 + support)), 6) AS score FROM h JOIN a USING (query_id)"""
 
 
 def budget_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,13 +254,13 @@ SELECT p_type, fact_id, row_number() OVER (PARTITION BY p_type ORDER BY rank, mo
 
 def union_best(spark: SparkSession, folder: str) -> DataFrame:
     """Two candidate lists in one, each document once at its best score."""
-    docs, asked = _docs(spark, folder), tables.query_texts(spark, folder).filter("query_id < 8")
+    docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
     a = _stable(retrieval.bm25_scores(docs, asked), 20).select("query_id", "fact_id", "score", F.lit("words").alias("namespace"))
     b = a.filter("fact_id % 2 = 0").withColumn("score", F.col("score") * 1.5).withColumn("namespace", F.lit("even"))
     return _rounded(ranking.union_best([a, b], ["query_id", "fact_id"]))
 
 
-UNION_SQL = f"WITH docs AS (SELECT doc_id AS fact_id, text FROM documents), asked AS (SELECT item_id::BIGINT AS query_id, text FROM benchmark WHERE item_id < 8), {_bm25_sql(digits=9)}, best AS ({_ranked('score', 20)}) SELECT query_id, fact_id, round(CASE WHEN fact_id % 2 = 0 THEN score * 1.5 ELSE score END, 6) AS score, CASE WHEN fact_id % 2 = 0 THEN 'even' ELSE 'words' END AS namespace FROM best"
+UNION_SQL = f"WITH docs AS (SELECT doc_id AS fact_id, text FROM documents), asked AS (SELECT item_id::BIGINT AS query_id, text FROM benchmark), {_bm25_sql(digits=9)}, best AS ({_ranked('score', 20)}) SELECT query_id, fact_id, round(CASE WHEN fact_id % 2 = 0 THEN score * 1.5 ELSE score END, 6) AS score, CASE WHEN fact_id % 2 = 0 THEN 'even' ELSE 'words' END AS namespace FROM best"
 
 
 def text_columns(spark: SparkSession, folder: str) -> DataFrame:
