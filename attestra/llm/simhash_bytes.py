@@ -6,9 +6,10 @@ they share at least 4 positional bytes: the guaranteed minimum. The index is key
 single bytes, which would hold a 256th of the corpus, is never read. Each pair that a list brings together has its shared
 positional bytes tallied, is kept from the minimum on, and only then verified by the number of differing bits.
 
-Equal fingerprints are merged first, so copies never meet in a list. Near copies do: a list's links are reported as a
-spanning forest, not as pairs. All fingerprints within 2 bits of a list's majority pattern lie within 4 bits of each other and
-are linked in a chain without comparing; only the others are compared with the list. A long list is split by one more positional
+Equal fingerprints are merged first, so copies never meet in a list. Near copies do: what a list links is reported as a
+forest, each member with the most central one that it is linked to directly or through others, so that the many lists of one group,
+which have its centre in common, report much the same rows. All fingerprints within 2 bits of a list's majority pattern lie within 4 bits of each other and
+are linked without comparing; only the others are compared with the list. A long list is split by one more positional
 byte, the fourth that a linked pair must share; a list of four bytes that is still long is cut into blocks, and every pair of
 blocks is a task's work of its own. So no long list is one task's and none is held whole. No link between different
 components is lost, so the components are those of all links.
@@ -103,18 +104,48 @@ def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return retained
 
 
+def majority(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bit pattern of which each run of x has most bits."""
+    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), 8), axis=1)
+    sizes = np.diff(np.append(starts, len(x)))
+    return np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None], axis=1).view(">u8").astype(np.uint64)[:, 0]
+
+
+def forest(x: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(roots, places): every place of x in the pairs (a, b) with the most central place of its component, places that are roots left out."""
+    places = np.unique(np.concatenate([a, b]))
+    if not len(places):
+        return places, places
+    starts = run_bounds(keys[places])[:-1]
+    middle = np.repeat(majority(x[places], starts), np.diff(np.append(starts, len(places))))
+    order = np.lexsort((x[places], np.bitwise_count(x[places] ^ middle), keys[places]))
+    at = np.empty(len(places), np.int64)
+    at[order] = np.arange(len(places))
+    a, b = at[np.searchsorted(places, a)], at[np.searchsorted(places, b)]
+    root = np.arange(len(places))
+    while True:
+        before, low = root.copy(), np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    found = np.flatnonzero(root != np.arange(len(places)))
+    return places[order[root[found]]], places[order[found]]
+
+
 def spanning_links(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links (places in x) whose components are those of all pairs of x within MAX_BITS."""
     if len(x) < 2:
         return []
     out = []
-    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), 8), axis=1)
-    middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(x)).view(">u8").astype(np.uint64)[0]
-    core = np.bitwise_count(x ^ middle) <= MAX_BITS // 2
+    away = np.bitwise_count(x ^ majority(x, np.zeros(1, np.int64))[0])
+    core = away <= MAX_BITS // 2
     root = np.arange(len(x))
     inside = np.flatnonzero(core)
     if len(inside) > 1:
-        out.append((inside[:-1], inside[1:]))
+        inside = inside[np.lexsort((x[inside], away[inside]))]
+        out.append((np.full(len(inside) - 1, inside[0]), inside[1:]))
         root[inside] = inside[0]
     for p in np.flatnonzero(~core):
         near = np.flatnonzero(linked(x, x[p : p + 1]))
@@ -184,7 +215,7 @@ def long_lists(prints: DataFrame, block: int = BLOCK, at_most: int = MAX_CUT, sp
 
 
 def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links of the nodes of prints (node, fps), one spanning forest for each list or pair of its blocks."""
+    """(a, b): rows whose components are those of all verified links of the nodes of prints (node, fps)."""
     long, _ = long_lists(prints, block)
     sent = prints.sparkSession.sparkContext.broadcast((long, *long_lists(prints, block, split=long)))
 
@@ -220,11 +251,14 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
             bounds, found = run_bounds(keys), []
             sizes = np.diff(bounds)
             short = np.repeat(sizes <= SMALL, sizes)
+            pairs = []
             for gap in range(1, min(int(sizes.max(initial=1)), SMALL)):
                 pair = np.flatnonzero((keys[gap:] == keys[:-gap]) & short[gap:])
                 pair = pair[linked(fps[pair], fps[pair + gap])]
-                if len(pair):
-                    found.append((nodes[pair], nodes[pair + gap]))
+                pairs.append((pair, pair + gap))
+            if pairs:
+                roots, joined = forest(fps, keys, *(np.concatenate(c) for c in zip(*pairs, strict=True)))
+                found.append((nodes[roots], nodes[joined]))
             for k in np.flatnonzero(sizes > SMALL):
                 own = nodes[bounds[k] : bounds[k + 1]]
                 found += [(own[a], own[b]) for a, b in spanning_links(fps[bounds[k] : bounds[k + 1]])]
