@@ -18,15 +18,21 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there into a table of the shared folder or, where results are updated, the memory sink."""
+    """Runs a stream over what is there into a table of the shared folder; a complete result is written whole by each batch, and the last one counts."""
     name = f"attestra_{uuid.uuid4().hex}"
     root = f"{shared_folder(spark).rstrip('/')}/{name}"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{root}/rows")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    last: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={epoch}")
+        last[:] = [epoch]
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/rows/batch={last[0]}") if last else spark.createDataFrame([], df.schema)
 
 
 def _clocked(events: DataFrame) -> DataFrame:
@@ -59,10 +65,15 @@ def stream_epoch_boundary(spark: SparkSession, folder: str) -> DataFrame:
     e = _stream(spark, folder)
     rows = e.select(F.col("event_type").alias("scope"), (F.col("user_id") % 25).cast("string").alias("canonical"), F.col("event_id").alias("fact_id"), (F.col("value") - 40).alias("amplitude"), (F.col("value") > 485).alias("hard_negative"))
     root = f"{shared_folder(spark).rstrip('/')}/attestra_{uuid.uuid4().hex}"
-    rows.writeStream.foreachBatch(epochs.boundary_writer(spark, f"{root}/boundary")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema(f"{epochs.BOUNDARY}, epoch int").parquet(f"{root}/boundary")
-    last = done.agg(F.max("epoch")).first()[0]
-    return epochs.settle(done.filter(F.col("epoch") == last).drop("epoch"))
+    last: list[int] = []
+    fold = epochs.boundary_writer(spark, f"{root}/boundary")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        fold(batch, epoch)
+        last[:] = [epoch]
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return epochs.settle(epochs.boundary(spark, f"{root}/boundary", last[0] if last else 0))
 
 
 QUERIES = {

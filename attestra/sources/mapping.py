@@ -15,11 +15,11 @@ SCHEMES = {
     "redis": "redis", "rediss": "redis", "dynamodb": "dynamodb", "elasticsearch": "elasticsearch", "opensearch": "elasticsearch", "spacetimedb": "spacetimedb",
 }
 ENDINGS = {".sqlite": "sqlite", ".sqlite3": "sqlite", ".db": "sqlite", ".duckdb": "duckdb", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".log": "log", ".parquet": "parquet"}
-#: Column names that suggest a meaning, most telling first.
+#: Column names that suggest a meaning, most telling first; the last ones of a field are further spellings.
 HINTS = {
-    "id_field": ("id", "_id", "uuid", "key", "pk", "message_id", "doc_id"), "text_field": ("text", "content", "body", "message", "description"), "session_field": ("session_id", "session", "conversation_id", "conv_id", "thread_id"),
-    "sequence_field": ("sequence", "seq", "turn", "position", "index"), "event_time_field": ("event_time", "created_at", "timestamp", "date", "ts"), "role_field": ("role", "author_role", "sender_type"),
-    "speaker_field": ("speaker", "author", "name", "sender"), "source_field": ("source", "origin", "channel"), "version_field": ("version", "revision", "rev"),
+    "id_field": ("id", "_id", "uuid", "key", "pk", "message_id", "doc_id"), "text_field": ("text", "content", "message", "body", "value", "description"), "source_field": ("source", "source_id", "origin", "channel"),
+    "session_field": ("session", "session_id", "thread_id", "conversation_id", "conv_id"), "sequence_field": ("sequence", "seq", "turn_index", "turn", "position", "index"), "event_time_field": ("event_time", "timestamp", "created_at", "date", "ts"),
+    "role_field": ("role", "author_role", "sender_type"), "speaker_field": ("speaker", "author", "user_name", "name", "sender"), "version_field": ("version", "revision", "rev"),
 }
 
 

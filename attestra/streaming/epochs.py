@@ -1,7 +1,8 @@
 """Epochs: signed evidence is staged in micro-batches and folded into immutable boundaries.
 
-A boundary is a table in the shared folder, one directory for each epoch; an epoch written twice after a failure overwrites
-itself, so every boundary is the fold of all epochs up to it exactly once.
+Each epoch writes what it alone folds to, one directory in the shared folder, so its cost is that of its batch; every COMPACT epochs the
+boundary so far is written as a base, so a read folds one base and a few epochs. Folding takes greatest values, so it may be done
+in any grouping; an epoch written twice after a failure overwrites itself, and every boundary is the fold of all epochs up to it exactly once.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+COMPACT = 16
 BOUNDARY = "scope string, canonical string, fact_id bigint, positive double, negative double, hard boolean"
 
 
@@ -40,12 +43,32 @@ def silence(expected: DataFrame, staged: DataFrame) -> DataFrame:
     return expected.join(staged.select("scope", "canonical").distinct(), ["scope", "canonical"], "left_anti")
 
 
+def _epochs(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """What is written of one kind (epoch or base), with its number; none where the folder is not there yet."""
+    files = spark.read.schema(BOUNDARY).option("ignoreMissingFiles", "true").option("basePath", root)
+    try:
+        return files.parquet(f"{root}/{kind}=*").withColumn("_at", F.regexp_extract(F.col("_metadata.file_path"), rf"/{kind}=([0-9]+)/", 1).cast("int"))
+    except AnalysisException:
+        return spark.createDataFrame([], f"{BOUNDARY}, _at int")
+
+
+def boundary(spark: SparkSession, root: str, upto: int, proof_width: int | None = None) -> DataFrame:
+    """The boundary after an epoch: the last base before it and the epochs since."""
+    base = upto // COMPACT * COMPACT if upto >= COMPACT else 0
+    columns = [c.split()[0] for c in BOUNDARY.split(", ")]
+    since = _epochs(spark, root, "epoch").filter((F.col("_at") >= base) & (F.col("_at") <= upto)).select(*columns)
+    before = _epochs(spark, root, "base").filter(F.col("_at") == base).select(*columns) if base else spark.createDataFrame([], BOUNDARY)
+    both = before.unionByName(since)
+    return fold(both, spark.createDataFrame([], "scope string, canonical string, fact_id bigint, amplitude double, hard_negative boolean"), proof_width)
+
+
 def boundary_writer(spark: SparkSession, root: str, proof_width: int | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: folds each micro-batch into the boundary of the epoch before."""
+    """For foreachBatch: writes what a micro-batch folds to, and a base (all epochs before this one) every COMPACT epochs."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        before = spark.read.schema(BOUNDARY).parquet(f"{root}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], BOUNDARY)
-        fold(before, batch, proof_width).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+        if epoch and epoch % COMPACT == 0:
+            boundary(spark, root, epoch - 1, proof_width).write.mode("overwrite").parquet(f"{root}/base={epoch}")
+        fold(spark.createDataFrame([], BOUNDARY), batch, proof_width).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
 
     return write
 

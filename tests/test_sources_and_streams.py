@@ -118,5 +118,11 @@ def test_epochs_fold_once_even_if_one_is_written_again(spark, tmp_path):
     write(rows(("s", "c", 1, 1.0, False)), 0)
     write(rows(("s", "c", 1, 1.0, False), ("s", "c", 2, 0.5, False)), 1)
     write(rows(("s", "c", 1, 1.0, False), ("s", "c", 2, 0.5, False)), 1)
-    r = epochs.settle(spark.read.schema(epochs.BOUNDARY).parquet(f"{root}/epoch=1")).first()
+    r = epochs.settle(epochs.boundary(spark, root, 1)).first()
     assert (r.amplitude, r.witnesses, r.state) == (1.5, 2, "resolved")
+    assert epochs.settle(epochs.boundary(spark, root, 0)).first().amplitude == 1.0
+    for k in (*range(2, 2 * epochs.COMPACT + 2), epochs.COMPACT):  # a base is written twice
+        write(rows(("s", "c", k + 1, 0.25, False)), k)
+    for k in (epochs.COMPACT - 1, epochs.COMPACT, 2 * epochs.COMPACT + 1):
+        r = epochs.settle(epochs.boundary(spark, root, k)).first()
+        assert (r.amplitude, r.witnesses) == (1.5 + 0.25 * (k - 1), k + 1)
