@@ -265,6 +265,13 @@ def gauge_transport(spark: SparkSession, folder: str) -> DataFrame:
     return conjunctive.transport(n.select(F.col("k").alias("query"), F.col("k").alias("node")), arrows)
 
 
+TRANSPORT_SQL = """WITH RECURSIVE a AS (SELECT n_nationkey::BIGINT AS src, CASE n_nationkey WHEN 13 THEN 14 WHEN 14 THEN 13 ELSE n_nationkey // 2 END::BIGINT AS dst FROM nation WHERE n_nationkey % 5 <> 0),
+w AS (SELECT n_nationkey::BIGINT AS query, n_nationkey::BIGINT AS node, [n_nationkey::BIGINT] AS path, false AS back FROM nation UNION ALL SELECT query, dst, list_append(path, dst), list_contains(path, dst) FROM w JOIN a ON node = src WHERE NOT back AND len(path) <= 8),
+e AS (SELECT query, node, back, len(path) > 8 AND NOT back AND src IS NOT NULL AS deep, src IS NULL AND NOT back AS done FROM w LEFT JOIN (SELECT DISTINCT src FROM a) ON node = src),
+g AS (SELECT query, bool_or(back) AS cycle, bool_or(deep) AS deep, count(DISTINCT node) FILTER (WHERE done) AS ends, min(node) FILTER (WHERE done) AS node FROM e GROUP BY 1)
+SELECT query, CASE WHEN cycle THEN 'cycle' WHEN deep THEN 'depth_exceeded' WHEN ends = 1 THEN 'resolved' ELSE 'conflict' END AS state, CASE WHEN NOT cycle AND NOT deep AND ends = 1 THEN node END AS value FROM g"""
+
+
 def semi_join_intents(spark: SparkSession, folder: str) -> DataFrame:
     li = tables.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat_ws("", "l_returnflag", "l_linestatus").alias("term"))
     required = tables.table(spark, folder, "region").limit(0).select(F.col("r_name").alias("term")).union(spark.range(1).select(F.explode(F.array(F.lit("NO"), F.lit("RF"))).alias("term")))
@@ -405,7 +412,7 @@ SELECT supplier, region, string_agg(DISTINCT m, '+' ORDER BY m) AS provenance, c
 SELECT a.n AS "left", b.n AS "right", count(DISTINCT a.m) AS mediators, count(*) AS paths FROM c a JOIN c b ON a.m = b.m AND a.n < b.n AND a.f <> b.f JOIN nation x ON 'n' || lpad(x.n_nationkey::VARCHAR, 2, '0') = a.n JOIN nation y ON 'n' || lpad(y.n_nationkey::VARCHAR, 2, '0') = b.n WHERE x.n_regionkey <> y.n_regionkey GROUP BY 1, 2""",
     ),
     "alias_closure": (alias_closure, ALIAS_SQL),
-    "gauge_transport": (gauge_transport, None),
+    "gauge_transport": (gauge_transport, TRANSPORT_SQL),
     "semi_join_intents": (semi_join_intents, "SELECT l_orderkey AS doc FROM lineitem WHERE l_returnflag || l_linestatus IN ('NO', 'RF') GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) = 2"),
     "anti_join_supersession": (anti_join_supersession, SUPERSEDE_SQL),
     "operand_pair_margin": (

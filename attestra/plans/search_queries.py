@@ -52,7 +52,7 @@ def feedback_tail(spark: SparkSession, folder: str) -> DataFrame:
     """The best six documents of every item by BM25, filled to ten by those that the dense ranking adds."""
     docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
     base = _stable(retrieval.bm25_scores(docs, asked), 6)
-    return search.conservative_tail(base, retrieval.tfidf(docs, asked, 32).withColumn("rank", F.col("rank")), 10, 32)
+    return search.conservative_tail(base, retrieval.tfidf(docs, asked, 32), 10, 32)
 
 
 TAIL_SQL = f"""WITH {DOCS}, {_bm25_sql(digits=9)}, b AS (SELECT query_id, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM scored) WHERE rank <= 6),
