@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.operators import conjunctive, narrative, predicates, ranking, retrieval, search
-from attestra.plans import tables
+from attestra.plans import recall, tables
 from attestra.plans.tables import TURNS
 from attestra.plans.text_queries import DOCS, SEEDS, TOK, _bm25_sql, _docs, _ranked, _stable
 from attestra.sources import adapters
@@ -182,7 +182,12 @@ def text_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("fact_id", F.size(T.paragraphs(F.col("text"))).alias("paragraphs"))
 
 
+def recall_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return recall.cascade(tables.turns(spark, folder), tables.query_texts(spark, folder))
+
+
 QUERIES = {
+    "recall_cascade": (recall_cascade, None),
     "authorized_route": (authorized_route, ROUTE_SQL),
     "coherent_fiber": (coherent_fiber, COHERENT_SQL),
     "hypothesis_survivors": (hypothesis_survivors, "SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 4 AND bool_or(l_returnflag = 'R') AND max(l_tax) < 0.085"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import observe
 from attestra.operators import conjunctive, diary, proofs, ranking, retrieval, search
+from attestra.plans import recall
 
 
 def plain_pressure(rows, owed, limit, budget):
@@ -172,3 +173,38 @@ def test_components_that_do_not_settle_are_an_error(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
         graphs.connected_components(edges, max_rounds=1)
+
+
+def plain_merge(primary, other, quota, reserve):
+    out = list(primary[: quota - reserve])
+    for x in other:
+        if len(out) < quota and x not in out:
+            out.append(x)
+    return out + [x for x in dict.fromkeys([*primary, *other]) if x not in out]
+
+
+def test_merges_protect_a_prefix_and_a_reserve(spark):
+    rng = random.Random(7)
+    lists = {q: [rng.sample(range(12), rng.randrange(0, 10)) for _ in (0, 1)] for q in range(8)}
+    table = lambda k: spark.createDataFrame([(q, f, r) for q, two in lists.items() for r, f in enumerate(two[k], 1)], "query_id long, fact_id long, rank int")
+    found = recall.merged(table(0), table(1), 6, 2).collect()
+    for q, (a, b) in lists.items():
+        assert [r.fact_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == plain_merge(a, b, 6, 2)
+
+
+def test_the_cascade_recalls_words_context_and_named_speakers(spark):
+    rng = random.Random(8)
+    rows = [(s * 100 + t, f"s{s}", t, rng.choice(["ann", "bob"]), " ".join(rng.choice("rain tea boat road lamp fish song".split()) for _ in range(5))) for s in range(6) for t in range(8)]
+    rows[10] = (*rows[10][:4], "the zebra crossed quietly")
+    rows[20] = (*rows[20][:4], None)
+    turns = spark.createDataFrame(rows, "fact_id long, session_id string, sequence long, role string, text string")
+    asked = spark.createDataFrame([(1, "zebra"), (2, "what did ann say of tea and rain"), (3, "unheard")], "query_id long, text string")
+    found = {}
+    for r in sorted(recall.cascade(turns, asked).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.fact_id)
+    assert set(found) == {1, 2} and all(len(x) == len(set(x)) <= 16 for x in found.values())
+    at = rows[10][0]
+    assert found[1][0] == at and {at - 1, at + 1} <= set(found[1][:3])
+    speakers = {r[0]: r[3] for r in rows}
+    assert sum(speakers[f] == "ann" for f in found[2]) >= 8
+    assert recall.cascade(turns.limit(0), asked).count() == 0
