@@ -69,7 +69,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     links, before = materialize(clean(down(edges)), "links"), None
     for k in range(max_rounds):
-        links = materialize(clean(star(down(clean(star(both(links), large=True))), large=False)), f"round{k}")
+        # the small step reads the large one's rows twice: they are written, and are few by then
+        wide = materialize(down(clean(star(both(links), large=True))), f"large{k}")
+        links = materialize(clean(star(wide, large=False)), f"round{k}")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
