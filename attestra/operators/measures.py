@@ -32,9 +32,9 @@ def atoms(docs: DataFrame, keep: list[str] | None = None, dimension: str | None
     words = T.tokens(F.when(numeric, F.col("said")))
     flagged = rows.select("*", T.has_any(words, T.HEDGES).alias("hedged"), T.has_any(words, T.NEGATIONS).alias("negative"), F.col("said").endswith("?").alias("question"), F.when(numeric, F.regexp_extract_all("said", F.lit(PATTERN), F.lit(0))).alias("matches"))
     found = flagged.select("*", F.posexplode_outer("matches").alias("position", "match")).drop("matches")
-    amount = F.rtrim("match", F.lit(LETTERS))
-    unit = F.ltrim(F.substr("match", F.char_length(amount) + 1))
-    named = found.withColumn("amount", amount).withColumn("unit", F.when(F.col("amount").startswith("$"), F.lit("USD")).otherwise(singular(unit)))
+    amount = F.translate("match", LETTERS, "")
+    cut = found.filter("match IS NOT NULL").withColumn("amount", amount).withColumn("_unit", F.lower(F.ltrim(F.substr("match", F.char_length("amount") + 1))))
+    named = cut.withColumn("unit", F.when(F.col("amount").startswith("$"), F.lit("USD")).otherwise(singular(F.col("_unit")))).drop("_unit")
     known = named.join(F.broadcast(units), "unit")
     known = known.withColumn("value", number(F.ltrim("amount", F.lit("$"))))
     return known.withColumn("base_value", (F.col("value") * F.col("factor")).cast("decimal(38,8)")).drop("factor", "match", "amount")
