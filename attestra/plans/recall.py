@@ -6,7 +6,7 @@
     sessions             a reserve for the woven order of sessions
     neighbours           the turns around the first seeds, then the rest
 
-Rankings are tables (query_id, fact_id, rank); lists of one question are arrays only where two of them are merged, and hold `depth` ids at most.
+Rankings are tables (query_id, fact_id, rank), those that several stages read written to the shared folder; lists of one question are arrays only where two of them are merged, and hold `depth` ids at most.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.operators import ranking, retrieval, search
+from attestra.operators.graphs import materialize
 
 
 def _ranked(scored: DataFrame, depth: int, score: str = "score") -> DataFrame:
@@ -52,16 +53,16 @@ def cascade(turns: DataFrame, queries: DataFrame, depth: int = 16, person: tuple
     """turns: fact_id, session_id, sequence, role (the speaker), text; queries: query_id, text. (query_id, fact_id, rank), at most `depth` a question.
 
     A question without a word of any turn has no list; null texts hold no word."""
-    direct = _ranked(retrieval.bm25_scores(turns.select("fact_id", "text"), queries), depth)
+    direct = materialize(_ranked(retrieval.bm25_scores(turns.select("fact_id", "text"), queries), depth), "direct")
     channel = lambda df, name: df.select("query_id", F.lit(name).alias("channel"), "fact_id", F.col("rank").cast("int").alias("rank"))
     fused = ranking.fuse(channel(direct, "words").union(channel(pressed(turns, queries, direct, depth), "pressure")), ["query_id"], ["words", "pressure"], 60, depth)
-    cavity = _ranked(retrieval.cavity(direct, turns, 3, 0.75).withColumnRenamed("incoming", "score"), depth)
+    cavity = materialize(_ranked(retrieval.cavity(direct, turns, 3, 0.75).withColumnRenamed("incoming", "score"), depth), "cavity")
     context = ranking.fuse(channel(fused, "fused").union(channel(cavity, "cavity")), ["query_id"], ["fused", "cavity"], 60, depth)
     named = cavity.join(turns.select("fact_id", "role"), "fact_id").join(queries.select("query_id", T.tokens(F.col("text")).alias("asked")), "query_id")
     speakers = search.speakers_first(named, F.coalesce(F.array_contains("asked", F.lower("role")), F.lit(False))).select("query_id", "fact_id", F.col("place").alias("rank"))
-    people = merged(context, speakers, *person)
+    people = materialize(merged(context, speakers, *person), "people")
     woven = retrieval.weave(turns, queries.join(direct.select("query_id").distinct(), "query_id", "left_semi"), depth, boundary=0.0)
-    addressed = merged(people, woven, *session)
+    addressed = materialize(merged(people, woven, *session), "addressed")
     near = retrieval.neighbours(addressed.filter(F.col("rank") <= seeds), turns, radius).select("query_id", "fact_id", F.lit(0).alias("part"), F.col("rank").cast("int").alias("rank"))
     rest = addressed.join(near.select("query_id", "fact_id"), ["query_id", "fact_id"], "left_anti").select("query_id", "fact_id", F.lit(1).alias("part"), "rank")
     order = Window.partitionBy("query_id").orderBy("part", "rank", "fact_id")
