@@ -66,6 +66,15 @@ def test_prefixes_lose_no_similar_pair(spark, floor):
     assert found == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] and b[2] and len(set(a[2]) & set(b[2])) >= floor * len(set(a[2]) | set(b[2]))}
 
 
+def test_similar_pairs_move_only_rows_that_share_a_rare_word(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: kept.append(df.cache()) or kept[-1])
+    rows = [(1, i, ["sold", "lot", "of", "part", f"o{i}", f"p{i}" if i != 7 else "p6"]) for i in range(400)] + [(2, i, ["sold", "lot", "of", "part"]) for i in range(2)]
+    found = retrieval.similar_pairs(spark.createDataFrame(rows, "g int, id long, words array<string>"), ["g"], "id", "words", 0.7).collect()
+    assert {(r.g, r.a, r.b) for r in found} == {(1, 6, 7), (2, 0, 1)} and len(found) == 2
+    assert {(r.g, r._w) for r in kept[0].collect() if r.g == 1} == {(1, "p6")}
+
+
 def test_a_lexical_ranking_reads_its_documents_once(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i % 7} common text {i % 3}") for i in range(50)], "fact_id long, text string").write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
