@@ -4,13 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NEVER = 10**18
 
 
+class Best:
+    """The k best of each of n lists by (score down, key up), of rows that come in blocks; it holds n * k rows."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.lists, self.keys, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def offer(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each key, a column for each list; minus infinity is none."""
+        if not scores.size:
+            return
+        most = scores.max(axis=0)
+        at = np.flatnonzero((most >= self.floor) & (most > -np.inf))
+        if not len(at):
+            return
+        mine, least = scores[:, at], self.floor[at]
+        if len(mine) > self.k:
+            least = np.maximum(least, np.partition(mine, len(mine) - self.k, axis=0)[len(mine) - self.k])
+        row, column = np.nonzero((mine >= least) & (mine > -np.inf))
+        lists, held, score = np.concatenate([self.lists, at[column]]), np.concatenate([self.keys, keys[row]]), np.concatenate([self.scores, mine[row, column]])
+        order = np.lexsort((held, -score, lists))
+        lists, held, score = lists[order], held[order], score[order]
+        rank = np.arange(len(lists)) - np.searchsorted(lists, lists)
+        last = rank == self.k - 1
+        self.floor[lists[last]] = score[last]
+        kept = rank < self.k
+        self.lists, self.keys, self.scores = lists[kept], held[kept], score[kept]
+
+
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", item: str = "fact_id") -> DataFrame:
     """The k best of each group by (score down, item up), with `rank`."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), item)
@@ -99,11 +130,10 @@ def union_best(lists: list[DataFrame], key: list[str], score: str = "score") ->
     return best.select(*key, "b.*")
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 8192) -> DataFrame:
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 8192, slice_: int = 2048, width: int = 1024) -> DataFrame:
     """(query_id, key, score): exact cosine of stated queries against all vectors. Queries come in blocks of about so many rows, one scan of
-    the vectors for each, so what is sent to executors is bounded; a task keeps the k best of each query."""
-    import numpy as np
-
+    the vectors for each, so what is sent to executors is bounded; a task scores slices of both and keeps the k best of each query. Scores are
+    rounded to twelve digits, so that copies tie in whatever slice they are scored."""
     asked = queries.select("query_id", vector)
     n = max(1, -(-asked.count() // block))
     kind = vectors.schema[key].dataType.simpleString()
@@ -115,19 +145,21 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
             matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
         sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, against = sent.value
-            for pdf in batches:
-                if not len(pdf) or not names:
-                    continue
-                rows = np.array(pdf[vector].tolist(), np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
-                sims, keys = rows @ against.T, pdf[key].to_numpy()
-                for j, name in enumerate(names):
-                    top = np.lexsort((keys, -sims[:, j]))[:k]  # no other row of the batch can be among the k best
-                    yield pd.DataFrame({"query_id": name, key: keys[top], "score": sims[top, j]})
-
-        return vectors.select(key, vector).mapInPandas(score, f"query_id long, {key} {kind}, score double")
+            best = [Best(len(against[low : low + width]), k) for low in range(0, len(names), width)]
+            for batch in batches:
+                for at in range(0, batch.num_rows if names else 0, slice_):
+                    part = batch.slice(at, slice_)
+                    keys = part.column(0).to_numpy(zero_copy_only=False)
+                    rows = np.array(part.column(1).to_pylist(), np.float64)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
+                    for low, held in zip(range(0, len(names), width), best, strict=True):
+                        held.offer(keys, np.round(rows @ against[low : low + width].T, 12))
+            for low, held in zip(range(0, len(names), width), best, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[low + held.lists]), pa.array(held.keys), pa.array(held.scores)], names=["query_id", key, "score"])
+
+        return vectors.select(key, vector).mapInArrow(score, f"query_id long, {key} long, score double").withColumn(key, F.col(key).cast(kind))
 
     out = None
     for b in range(n):

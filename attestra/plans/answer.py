@@ -58,7 +58,7 @@ def ask(facts: DataFrame, question: str, today: dt.date | None = None) -> DataFr
 
 def evidence(docs: DataFrame, queries: DataFrame, documents: int = 8, sentences: int = 12, budget: int = 4096) -> DataFrame:
     """(query_id, fact_ids, used, evidence): for every query the best sentences of its best documents, as many as fit into so many bytes."""
-    best = ranking.top_k(retrieval.bm25_scores(docs, queries).withColumn("score", F.round("score", 9)), documents, ["query_id"]).select("query_id", "fact_id")
+    best = retrieval.bm25(docs, queries, documents).select("query_id", "fact_id")
     said = retrieval.claims(docs.join(best.select("fact_id").distinct(), "fact_id", "left_semi")).join(best, "fact_id")
     asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
     shared = said.join(asked, "query_id").withColumn("score", F.size(F.array_intersect(T.tokens(F.col("text")), F.col("asked"))).cast("double")).filter("score > 0")

@@ -9,7 +9,7 @@ from attestra.functions import text as T
 from attestra.operators import diary, retrieval
 from attestra.plans import tables
 from attestra.plans.tables import TURNS
-from attestra.plans.text_queries import TOK, _bm25_sql, _stable
+from attestra.plans.text_queries import TOK, _bm25_sql
 
 _S = "CAST({} AS STRING)"
 #: Statements in SQL that Spark and the oracle both read; l: the line's number, q: its quantity, p: its part, k: its order.
@@ -50,7 +50,7 @@ LOOKUP_SQL = f"WITH {TURNS}, w AS (SELECT DISTINCT fact_id, unnest({TOK}) AS w F
 def assistant_line(spark: SparkSession, folder: str) -> DataFrame:
     """The second sentence of the assistant turn that answers each item best and follows one of its best user turns."""
     t, asked = tables.turns(spark, folder), tables.query_texts(spark, folder)
-    rank = lambda role: _stable(retrieval.bm25_scores(t.filter(F.col("role") == role).select("fact_id", "text"), asked), 8)
+    rank = lambda role: retrieval.bm25(t.filter(F.col("role") == role).select("fact_id", "text"), asked, 8)
     order = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("sequence"), "fact_id")
     after = t.withColumn("then", F.lead("fact_id").over(order)).withColumn("by", F.lead("role").over(order)).filter("by = 'assistant'").select("fact_id", "then")
     following = rank("user").join(after, "fact_id").select("query_id", F.col("then").alias("fact_id"))

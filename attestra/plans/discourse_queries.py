@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
@@ -166,9 +166,7 @@ DAYS_SQL = "WITH e AS (SELECT event_id AS fact_id, (ts::DATE - DATE '2024-01-01'
 def verified_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Ranked documents that the current key-value state holds at the version asked for."""
     docs = tables.documents(spark, folder).select("fact_id", "text")
-    scored = retrieval.bm25_scores(docs, tables.query_texts(spark, folder)).withColumn("score", F.round("score", 9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "fact_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 20").withColumn("version", F.lit(1).cast("bigint"))
+    ranked = retrieval.bm25(docs, tables.query_texts(spark, folder), 20).withColumn("version", F.lit(1).cast("bigint"))
     state = docs.select("fact_id", F.when(F.col("fact_id") % 7 == 0, 2).otherwise(1).cast("bigint").alias("version"), F.when(F.col("fact_id") % 5 == 0, "DELETE").otherwise("PUT").alias("op"))
     return retrieval.verified(ranked, state).select("query_id", "fact_id", "rank")
 

@@ -42,18 +42,18 @@ def merged(primary: DataFrame, reserve_order: DataFrame, quota: int, reserve: in
 def pressed(turns: DataFrame, queries: DataFrame, direct: DataFrame, depth: int) -> DataFrame:
     """Turns in the order in which they close the question's words, from the best by words and by trigrams."""
     docs = turns.select("fact_id", "text")
-    far = _ranked(retrieval.bm25_scores(docs, queries, T.trigrams), depth)
+    far = retrieval.lexical_top(docs, queries, depth, T.trigrams)
     modes = direct.select("query_id", F.lit("direct").alias("mode"), (F.col("rank") - 1).alias("rank"), "fact_id").union(far.select("query_id", F.lit("sublexical"), F.col("rank") - 1, "fact_id"))
     held = docs.select("fact_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("cost"), F.array_distinct(T.tokens(F.col("text"))).alias("keys"))
     owed = queries.select("query_id", F.explode_outer(T.tokens(F.col("text"))).alias("key")).filter("key IS NOT NULL").groupBy("query_id", "key").agg((1.0 + F.least(F.lit(0.5), 0.15 * (F.count("*") - 1))).alias("weight"))
-    return search.pressure(modes.join(held, "fact_id"), owed, depth).select("query_id", "fact_id", F.col("position").alias("rank"))
+    return search.pressure(held.join(F.broadcast(modes), "fact_id"), owed, depth).select("query_id", "fact_id", F.col("position").alias("rank"))
 
 
 def cascade(turns: DataFrame, queries: DataFrame, depth: int = 16, person: tuple[int, int] = (12, 3), session: tuple[int, int] = (14, 3), seeds: int = 4, radius: int = 1) -> DataFrame:
     """turns: fact_id, session_id, sequence, role (the speaker), text; queries: query_id, text. (query_id, fact_id, rank), at most `depth` a question.
 
     A question without a word of any turn has no list; null texts hold no word."""
-    direct = materialize(_ranked(retrieval.bm25_scores(turns.select("fact_id", "text"), queries), depth), "direct")
+    direct = materialize(retrieval.bm25(turns.select("fact_id", "text"), queries, depth).select("query_id", "fact_id", "rank", "score"), "direct")
     channel = lambda df, name: df.select("query_id", F.lit(name).alias("channel"), "fact_id", F.col("rank").cast("int").alias("rank"))
     fused = ranking.fuse(channel(direct, "words").union(channel(pressed(turns, queries, direct, depth), "pressure")), ["query_id"], ["words", "pressure"], 60, depth)
     cavity = materialize(_ranked(retrieval.cavity(direct, turns, 3, 0.75).withColumnRenamed("incoming", "score"), depth), "cavity")

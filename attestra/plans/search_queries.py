@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.functions import text as T
-from attestra.operators import conjunctive, narrative, predicates, ranking, retrieval, search
+from attestra.operators import conjunctive, narrative, predicates, retrieval, search
 from attestra.plans import recall, tables
 from attestra.plans.tables import TURNS
-from attestra.plans.text_queries import DOCS, SEEDS, TOK, _bm25_sql, _docs, _ranked, _stable
+from attestra.plans.text_queries import DOCS, SEEDS, TOK, _bm25_sql, _docs, _ranked
 from attestra.sources import adapters
 
 
@@ -51,7 +51,7 @@ def hypothesis_survivors(spark: SparkSession, folder: str) -> DataFrame:
 def feedback_tail(spark: SparkSession, folder: str) -> DataFrame:
     """The best six documents of every item by BM25, filled to ten by those that the dense ranking adds."""
     docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
-    base = _stable(retrieval.bm25_scores(docs, asked), 6)
+    base = retrieval.bm25(docs, asked, 6)
     return search.conservative_tail(base, retrieval.tfidf(docs, asked, 32), 10, 32)
 
 
@@ -90,7 +90,7 @@ def outbox_either(spark: SparkSession, folder: str) -> DataFrame:
 def speaker_partition(spark: SparkSession, folder: str) -> DataFrame:
     """Each item's best eight turns, those of the assistant first."""
     t = tables.turns(spark, folder)
-    best = _stable(retrieval.bm25_scores(t.select("fact_id", "text"), tables.query_texts(spark, folder)), 8).join(t.select("fact_id", "role"), "fact_id")
+    best = t.select("fact_id", "role").join(F.broadcast(retrieval.bm25(t.select("fact_id", "text"), tables.query_texts(spark, folder), 8)), "fact_id")
     return search.speakers_first(best, F.col("role") == "assistant").select("query_id", "fact_id", "place")
 
 
@@ -127,12 +127,12 @@ def proof_pressure_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = t.select("fact_id", "text")
     ranked = None
     for mode, features in (("direct", T.tokens), ("sublexical", T.trigrams)):
-        part = _stable(retrieval.bm25_scores(docs, asked, features), 32).select("query_id", F.lit(mode).alias("mode"), (F.col("rank") - 1).alias("rank"), "fact_id")
+        part = retrieval.lexical_top(docs, asked, 32, features).select("query_id", F.lit(mode).alias("mode"), (F.col("rank") - 1).alias("rank"), "fact_id")
         ranked = part if ranked is None else ranked.union(part)
     held = docs.select("fact_id", F.octet_length("text").alias("cost"), F.array_distinct(T.tokens(F.col("text"))).alias("keys"))
     owed = asked.select("query_id", F.explode_outer(T.tokens(F.col("text"))).alias("key")).filter("key IS NOT NULL").groupBy("query_id", "key").agg(F.count("*").alias("n"))
     owed = owed.select("query_id", "key", F.when(F.col("key").rlike("^[0-9]+$"), 3.0).otherwise(1.0 + F.least(F.lit(0.5), 0.15 * (F.col("n") - 1))).alias("weight"))
-    return search.pressure(ranked.join(held, "fact_id"), owed, 12, 20000)
+    return search.pressure(held.join(F.broadcast(ranked), "fact_id"), owed, 12, 20000)
 
 
 def numeric_bounds(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestra.functions import text as T
 from attestra.functions.outcome import shown
 from attestra.operators import competition, ranking, retrieval
+from attestra.operators.graphs import materialize
 from attestra.plans import tables
 from attestra.plans.tables import TURNS
 
@@ -42,19 +43,15 @@ def _stable(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    scored = retrieval.bm25_scores(_docs(spark, folder), tables.query_texts(spark, folder))
-    return _rounded(_stable(scored, 10))
+    return _rounded(retrieval.bm25(_docs(spark, folder), tables.query_texts(spark, folder), 10))
 
 
 def bm25_plus_topk(spark: SparkSession, folder: str) -> DataFrame:
-    scored = retrieval.bm25_scores(_docs(spark, folder), tables.query_texts(spark, folder), delta=0.5)
-    return _rounded(_stable(scored, 10))
+    return _rounded(retrieval.bm25(_docs(spark, folder), tables.query_texts(spark, folder), 10, delta=0.5))
 
 
 def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder)
-    found = retrieval.tfidf(docs, tables.query_texts(spark, folder), 200)
-    return _rounded(_stable(found.drop("rank"), 10))
+    return _rounded(retrieval.tfidf(_docs(spark, folder), tables.query_texts(spark, folder), 10))
 
 
 TFIDF = f"""{TERMS}, t AS (SELECT fact_id, {TOK} AS ws FROM docs), st AS (SELECT count(*) AS n FROM t), p AS (SELECT fact_id, unnest(ws) AS token FROM t),
@@ -73,7 +70,7 @@ def dense_hash_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
-    lexical = _stable(retrieval.tfidf(docs, asked, 400).drop("rank"), 32).select("query_id", F.lit("lexical").alias("channel"), "fact_id", "rank")
+    lexical = retrieval.tfidf(docs, asked, 32).select("query_id", F.lit("lexical").alias("channel"), "fact_id", "rank")
     dense = retrieval.dense(docs, asked, 32).select("query_id", F.lit("dense").alias("channel"), "fact_id", "rank")
     return _rounded(ranking.fuse(lexical.union(dense), ["query_id"], ["lexical", "dense"], 60, 10))
 
@@ -126,8 +123,8 @@ CLAIMS_SQL = f"WITH {TURNS}, s AS (SELECT fact_id, list_filter(list_transform(re
 def channel_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted word, trigram and word-pair channels over conversation turns, for every benchmark item."""
     asked = tables.query_texts(spark, folder)
-    found = retrieval.channels(tables.turns(spark, folder).select("fact_id", "text"), asked)
-    return _rounded(retrieval.channel_rank(found, 10, (0.5, 0.3, 0.2))).select("query_id", "fact_id", "score", "rank")
+    found = retrieval.channels_top(tables.turns(spark, folder).select("fact_id", "text"), asked, 10, (0.5, 0.3, 0.2))
+    return _rounded(found).select("query_id", "fact_id", "score", "rank")
 
 
 _PAIRS = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
@@ -141,9 +138,8 @@ scored AS (SELECT query_id, fact_id, round(0.5 * l / CASE WHEN ml > 0 THEN ml EL
 
 def conformal_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose BM25 score is credible against the scores of the queries set apart for calibration (a quarter), at most ten for each other query."""
-    scored = retrieval.bm25_scores(_docs(spark, folder), tables.query_texts(spark, folder)).withColumn("score", F.round("score", 9))
-    calibration = scored.filter("query_id % 4 = 0").select("score")
-    found = retrieval.conformal(scored.filter("query_id % 4 != 0"), calibration, 0.9, 10)
+    asked = tables.query_texts(spark, folder)
+    found = retrieval.conformal_top(_docs(spark, folder), asked.filter("query_id % 4 != 0"), asked.filter("query_id % 4 = 0"), 0.9, 10)
     return found.select("query_id", "fact_id", "rank", F.round("p_value", 6).alias("p_value"))
 
 
@@ -153,8 +149,7 @@ SELECT query_id, fact_id, rank, round(p_value::DOUBLE, 6) AS p_value FROM (SELEC
 
 
 def _turn_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    scored = retrieval.bm25_scores(tables.turns(spark, folder).select("fact_id", "text"), tables.query_texts(spark, folder))
-    return _stable(scored, 3)
+    return retrieval.bm25(tables.turns(spark, folder).select("fact_id", "text"), tables.query_texts(spark, folder), 3)
 
 
 SEEDS = f"{TURNS}, docs AS (SELECT fact_id, text FROM turns), asked AS (SELECT item_id::BIGINT AS query_id, text FROM benchmark), {_bm25_sql(digits=9)}, seeds AS ({_ranked('score', 3)}), placed AS (SELECT fact_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY sequence, fact_id) AS place FROM turns)"
@@ -178,7 +173,7 @@ CAVITY_SQL = f"WITH {SEEDS} SELECT s.query_id, b.fact_id, round(max(s.score * po
 
 def feedback_terms(spark: SparkSession, folder: str) -> DataFrame:
     docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
-    best = _stable(retrieval.bm25_scores(docs, asked), 5)
+    best = retrieval.bm25(docs, asked, 5)
     return retrieval.feedback_terms(best, docs, asked)
 
 
@@ -209,8 +204,8 @@ SELECT query_id, doc, round(h.w / a, 6) AS coverage, support, round(h.w / a * (1
 def budget_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Each query's ten best documents, as far as they fit into 6000 bytes, skipping what does not."""
     docs = _docs(spark, folder)
-    best = _stable(retrieval.bm25_scores(docs, tables.query_texts(spark, folder)), 10)
-    costs = best.join(docs.select("fact_id", F.octet_length("text").alias("cost")), "fact_id")
+    best = retrieval.bm25(docs, tables.query_texts(spark, folder), 10)
+    costs = docs.select("fact_id", F.octet_length("text").alias("cost")).join(F.broadcast(best), "fact_id")
     return shown(ranking.budget_fold(costs, ["query_id"], "cost", 6000))
 
 
@@ -221,8 +216,8 @@ SELECT query_id, arg_max(ids, rank) AS fact_ids, arg_max(used, rank) AS used FRO
 
 def prefix_cutoff(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    best = _stable(retrieval.bm25_scores(docs, tables.query_texts(spark, folder)), 10)
-    costs = best.join(docs.select("fact_id", F.octet_length("text").cast("bigint").alias("cost")), "fact_id")
+    best = retrieval.bm25(docs, tables.query_texts(spark, folder), 10)
+    costs = docs.select("fact_id", F.octet_length("text").cast("bigint").alias("cost")).join(F.broadcast(best), "fact_id")
     return ranking.prefix_within(costs, ["query_id"], "cost", 9000).select("query_id", "fact_id", "rank", "used")
 
 
@@ -232,10 +227,10 @@ PREFIX_SQL = f"WITH {DOCS}, {_bm25_sql(digits=9)}, best AS ({_ranked('score', 10
 def max_cover(spark: SparkSession, folder: str) -> DataFrame:
     """A greedy cover of each query's words by its ten best documents."""
     docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
-    best = _stable(retrieval.bm25_scores(docs, asked), 10)
+    best = retrieval.bm25(docs, asked, 10)
     words = docs.select("fact_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"), F.octet_length("text").alias("cost"))
     wanted = asked.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    rows = best.join(words, "fact_id").join(wanted, "query_id").select("query_id", "fact_id", F.array_intersect("words", "asked").alias("tokens"), "cost")
+    rows = words.join(F.broadcast(best), "fact_id").join(wanted, "query_id").select("query_id", "fact_id", F.array_intersect("words", "asked").alias("tokens"), "cost")
     return ranking.max_cover(rows, "query_id", 20000)
 
 
@@ -255,7 +250,7 @@ SELECT p_type, fact_id, row_number() OVER (PARTITION BY p_type ORDER BY rank, mo
 def union_best(spark: SparkSession, folder: str) -> DataFrame:
     """Two candidate lists in one, each document once at its best score."""
     docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
-    a = _stable(retrieval.bm25_scores(docs, asked), 20).select("query_id", "fact_id", "score", F.lit("words").alias("namespace"))
+    a = materialize(retrieval.bm25(docs, asked, 20), "best").select("query_id", "fact_id", "score", F.lit("words").alias("namespace"))
     b = a.filter("fact_id % 2 = 0").withColumn("score", F.col("score") * 1.5).withColumn("namespace", F.lit("even"))
     return _rounded(ranking.union_best([a, b], ["query_id", "fact_id"]))
 

@@ -1,7 +1,9 @@
 """Searches, joins and passage proofs against plain Python and edge cases."""
 
+import hashlib
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +93,35 @@ def test_a_lexical_ranking_reads_its_documents_once(spark, tmp_path):
     assert retrieval.bm25_scores(docs.limit(0), asked).count() == retrieval.bm25_scores(docs, asked.limit(0)).count() == 0
 
 
+def test_rankings_that_keep_the_best_are_those_of_all_scores(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 9)))
+    docs = spark.createDataFrame([(i, text()) for i in range(150)] + [(200 + i, "w1 w2 w3") for i in range(20)] + [(300, None), (301, "")], "fact_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, text()) for i in range(16)] + [(16, ""), (17, None), (18, "absent")], "query_id long, text string")
+    pick = lambda df: sorted((r.query_id, r.fact_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    stable = lambda df, k: ranking.top_k(df.withColumn("score", F.round("score", 9)), k, ["query_id"])
+    assert pick(retrieval.lexical_top(docs, asked, 6)) == pick(retrieval.lexical_top(docs, asked, 6, block=4)) == pick(stable(retrieval.bm25_scores(docs, asked), 6))
+    assert pick(retrieval.channels_top(docs, asked, 6, (0.5, 0.3, 0.2))) == pick(retrieval.channel_rank(retrieval.channels(docs, asked), 6, (0.5, 0.3, 0.2)))
+    scored = retrieval.bm25_scores(docs, asked).withColumn("score", F.round("score", 9))
+    judged = retrieval.conformal(scored.filter("query_id % 4 != 0"), scored.filter("query_id % 4 = 0").select("score"), 0.5, 5)
+    found = retrieval.conformal_top(docs, asked.filter("query_id % 4 != 0"), asked.filter("query_id % 4 = 0"), 0.5, 5)
+    assert sorted((r.query_id, r.fact_id, round(r.p_value, 9)) for r in found.collect()) == sorted((r.query_id, r.fact_id, round(r.p_value, 9)) for r in judged.collect())
+
+
+def test_a_median_interval_counts_places_and_skips_nulls(spark):
+    rng = random.Random(8)
+    rows = [(g, float(rng.randrange(40))) for g, n in ((1, 1), (2, 4), (3, 25)) for _ in range(n)] + [(3, None), (4, None)]
+    found = {r.g: (r.low, r.high) for r in search.median_interval(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", 20).collect()}
+    for g in (1, 2, 3):
+        values = sorted(v for h, v in rows if h == g and v is not None) + [None] * sum(h == g and v is None for h, v in rows)
+        medians = []
+        for draw in range(20):
+            drawn = [values[int(hashlib.md5(f"{draw}:{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))]
+            medians.append(statistics.median(v for v in drawn if v is not None))
+        medians.sort()
+        assert found[g] == (medians[0], medians[18])
+
+
 def test_dense_ranking_in_blocks_is_that_of_one_block(spark):
     rng = random.Random(4)
     text = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(6))
