@@ -4,8 +4,12 @@ between witnesses. Candidate lists are bounded per query before anything is gath
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,14 +131,35 @@ def paired_arms(trials: DataFrame, query: str, arm: str) -> DataFrame:
 
 
 def median_interval(samples: DataFrame, by: list[str], value: str, resamples: int, confidence: float = 0.95) -> DataFrame:
-    """Bootstrap interval of each group's median. Draws are digests of (resample, place), so a run repeats exactly; a group is a bounded sample of
-    measurements, and its draws are rows, spread over all tasks."""
-    place = Window.partitionBy(*by).orderBy(value)
-    ranked = samples.select(*by, F.col(value).cast("double").alias("v")).withColumn("at", F.row_number().over(place.orderBy("v")) - 1)
-    sizes = ranked.groupBy(*by).agg(F.count("*").alias("n"))
-    drawn = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw")).select(*by, "n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    medians = drawn.withColumn("at", (digest % F.col("n")).cast("int")).join(ranked, [*by, "at"]).groupBy(*by, "draw").agg(F.median("v").alias("m"))
+    """Bootstrap interval of each group's median. Draws are digests of (resample, place), so a run repeats exactly.
+
+    Values in order have their median at the median of their places, so a resample needs its places alone: a task computes a resample's
+    digests once for all groups and finds the middle places, which alone meet the values. It holds a few numbers for each row of
+    the largest group. Nulls come last and count in no median."""
+    place = Window.partitionBy(*by).orderBy(F.col("v").asc_nulls_last())
+    ranked = samples.select(*by, F.col(value).cast("double").alias("v")).withColumn("at", (F.row_number().over(place) - 1).cast("long"))
+    sizes = samples.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("known")).select(F.struct(*by).alias("g"), "n", "known")
+    tasks = sizes.select("g", "n", "known", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("draw")).repartition(resamples, "draw").sortWithinPartitions("draw", F.desc("n"))
+
+    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, held = None, np.empty(0, np.int64)
+        for batch in batches:
+            low, high = [], []
+            for n, known, draw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if draw != drawn:  # the first group of a resample is its largest
+                    drawn, held = draw, np.fromiter((int.from_bytes(md5(b"%d:%d" % (draw, i)).digest()[:4], "big") for i in range(n)), np.int64, n)
+                at = held[:n] % n
+                at = at[at < known]
+                if len(at):
+                    middles = (len(at) - 1) // 2, len(at) // 2
+                    at.partition(middles)
+                low.append(int(at[middles[0]]) if len(at) else None)
+                high.append(int(at[middles[1]]) if len(at) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["g", "draw", "low", "high"])
+
+    kind = tasks.schema["g"].dataType.simpleString()
+    middles = tasks.mapInArrow(middle, f"g {kind}, draw int, low long, high long").select("g.*", "draw", F.explode(F.array("low", "high")).alias("at"))
+    medians = middles.join(ranked, [*by, "at"]).groupBy(*by, "draw").agg(F.avg("v").alias("m"))
     ordered = medians.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("ms"))  # as many as there are resamples
     low, high = int((1 - confidence) / 2 * resamples), int((1 + confidence) / 2 * resamples) - 1
     return ordered.select(*by, F.round(F.get("ms", F.lit(low)), 6).alias("low"), F.round(F.get("ms", F.lit(high)), 6).alias("high"))
