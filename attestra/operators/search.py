@@ -79,6 +79,22 @@ def either_key(left: DataFrame, right: DataFrame, first: tuple[str, str], second
     return a.union(b)
 
 
+def either_count(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], by: list[str]) -> DataFrame:
+    """(by, pairs): how many pairs either_key gives for each `by` of left, from counts of keys, without the pairs. Groups without a pair have no row."""
+
+    def met(keys: list[tuple[str, str]]) -> DataFrame:
+        own, other = list(dict.fromkeys([*by, *[k for k, _ in keys]])), [k for _, k in keys]
+        a = left.groupBy(*own).agg(F.count("*").alias("_a"))
+        b = right.groupBy(*other).agg(F.count("*").alias("_b"))
+        both = F.lit(True)
+        for x, y in keys:
+            both = both & (F.col(x) == F.col(y))
+        return a.join(b, both).select(*by, (F.col("_a") * F.col("_b")).alias("pairs"))
+
+    twice = met([first, second]).select(*by, (-F.col("pairs")).alias("pairs"))
+    return met([first]).union(met([second])).union(twice).groupBy(*by).agg(F.sum("pairs").alias("pairs"))
+
+
 def pressure(candidates: DataFrame, obligations: DataFrame, limit: int, budget: int | None = None) -> DataFrame:
     """candidates: query_id, mode, rank (from 0), fact_id, cost, keys; obligations: query_id, key, weight. Each query's greedy order by the
     weight of obligations that a candidate newly closes, then by gain (that weight, the reciprocal of its rank and a little less for its
