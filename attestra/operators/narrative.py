@@ -45,8 +45,9 @@ def citations(sentences: DataFrame) -> DataFrame:
 
 def shared_bindings(bindings: DataFrame) -> DataFrame:
     """bindings: claim, binding. (a, b, shared): claims linked by what they bind in common."""
-    a, b = bindings.select(F.col("claim").alias("a"), "binding"), bindings.select(F.col("claim").alias("b"), "binding")
-    return a.join(b, "binding").filter("a < b").groupBy("a", "b").agg(F.count_distinct("binding").alias("shared"))
+    once = bindings.select("claim", "binding").distinct()
+    a, b = once.select(F.col("claim").alias("a"), "binding"), once.select(F.col("claim").alias("b"), "binding")
+    return a.join(b, "binding").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def best_sentence(sentences: DataFrame, score: str) -> DataFrame:
