@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.operators.graphs import materialize
+
 
 def survival(attempts: DataFrame, agent: str, task: str) -> DataFrame:
     """attempts: agent, task, correct, verified, cost. Verified and unverified successes, false acceptances, the risk of an agent's mix in bits,
@@ -27,14 +29,26 @@ def coalitions(agents: DataFrame, ideal: str, champion: float, margin: float, co
     """agents: id, ideal, strength, reliability, cost, abilities. Per ideal, the best pair of challengers, each below the champion, whose joint
     cost fits and whose abilities differ: sqrt of strengths, times one plus complementarity, times sqrt of reliabilities."""
     weak = agents.filter(F.col("strength") < champion)
-    a, b = weak.alias("a"), weak.alias("b")
-    both = a.join(b, (F.col(f"a.{ideal}") == F.col(f"b.{ideal}")) & (F.col("a.id") < F.col("b.id"))).filter(F.col("a.cost") + F.col("b.cost") <= cost_limit)
-    union = F.size(F.array_union("a.abilities", "b.abilities"))
-    differ = 1 - F.size(F.array_intersect("a.abilities", "b.abilities")) / F.greatest(union, F.lit(1))
-    score = F.sqrt(F.col("a.strength") * F.col("b.strength")) * (1 + differ) * F.sqrt(F.col("a.reliability") * F.col("b.reliability"))
-    scored = both.select(F.col(f"a.{ideal}").alias(ideal), F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.round(score, 6).alias("score")).filter(F.col("score") >= champion + margin)
-    order = Window.partitionBy(ideal).orderBy(F.desc("score"), "first", "second")
-    return scored.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+
+    def scored(left: DataFrame, right: DataFrame, met: Column) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        both = a.join(b, (F.col(f"a.{ideal}") == F.col(f"b.{ideal}")) & met & (F.col("a.cost") + F.col("b.cost") <= cost_limit))
+        union = F.size(F.array_union("a.abilities", "b.abilities"))
+        differ = 1 - F.size(F.array_intersect("a.abilities", "b.abilities")) / F.greatest(union, F.lit(1))
+        score = F.sqrt(F.col("a.strength") * F.col("b.strength")) * (1 + differ) * F.sqrt(F.col("a.reliability") * F.col("b.reliability"))
+        return both.select(F.col(f"a.{ideal}").alias(ideal), F.col("a.id").alias("first"), F.col("b.id").alias("second"), F.round(score, 6).alias("score")).filter(F.col("score") >= champion + margin)
+
+    # among agents alike in all but strength the strongest make the best partners: two of each kind, for one may be the agent itself
+    alike = Window.partitionBy(ideal, "reliability", "cost", "abilities").orderBy(F.desc("strength"), "id")
+    partners = weak.withColumn("_k", F.row_number().over(alike)).filter("_k <= 2").drop("_k")
+    spread = weak.repartition(int(weak.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # a small file makes many candidates
+    own = scored(spread, partners, F.col("a.id") != F.col("b.id")).groupBy(ideal, "first").agg(F.max("score").alias("own"))
+    own = materialize(own, "own")
+    best = own.groupBy(ideal).agg(F.max("own").alias("own"))
+    # both agents of a best pair have its score as their best one, so ties are settled among few
+    last = weak.join(own.join(best, [ideal, "own"]).select(ideal, F.col("first").alias("id")), [ideal, "id"], "left_semi")
+    chosen = scored(last, last, F.col("a.id") < F.col("b.id")).groupBy(ideal).agg(F.min(F.struct((-F.col("score")).alias("s"), "first", "second")).alias("c"))
+    return chosen.select(ideal, "c.first", "c.second", (-F.col("c.s")).alias("score"))
 
 
 def regulate(rounds: DataFrame, by: list[str], clock: str) -> DataFrame:
@@ -63,9 +77,9 @@ def strategist(outcomes: DataFrame, by: list[str], option: str, world: str, valu
 
 def guarded(facts: DataFrame, worlds: DataFrame, by: list[str]) -> DataFrame:
     """facts: by, guard, value; worlds: world, holds (array of guards). What every world settles alike: a fact counts in a world that holds its guard."""
-    active = facts.join(worlds.select("world", F.explode("holds").alias("guard")), "guard")
-    per_world = active.groupBy(*by, "world").agg(F.sort_array(F.collect_set("value")).alias("answer"))
+    active = facts.select(*by, "guard", "value").distinct().join(F.broadcast(worlds.select("world", F.explode("holds").alias("guard"))), "guard")
+    per_world = active.groupBy(*by, "world").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     n = worlds.agg(F.count_distinct("world").alias("n"))
-    found = per_world.groupBy(*by).agg(F.count("*").alias("w"), F.count_distinct("answer").alias("kinds"), F.min("answer").alias("answer")).crossJoin(F.broadcast(n))
-    alike = (F.col("w") == F.col("n")) & (F.col("kinds") == 1) & (F.size("answer") == 1)
-    return found.select(*by, F.when(alike, "resolved").when(F.col("w") < F.col("n"), "abstain").otherwise("contested").alias("state"), F.when(alike, F.get("answer", F.lit(0))).alias("value"))
+    found = per_world.groupBy(*by).agg(F.count("*").alias("w"), F.count("low").alias("told"), F.min("low").alias("low"), F.max("high").alias("high")).crossJoin(F.broadcast(n))
+    alike = (F.col("w") == F.col("n")) & (F.col("told") == F.col("n")) & F.coalesce(F.col("low") == F.col("high"), F.lit(False))
+    return found.select(*by, F.when(alike, "resolved").when(F.col("w") < F.col("n"), "abstain").otherwise("contested").alias("state"), F.when(alike, F.col("low")).alias("value"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import observe
-from attestra.operators import conjunctive, diary, proofs, ranking, retrieval, search
+from attestra.operators import conjunctive, diary, narrative, proofs, ranking, retrieval, search, strategy
 from attestra.plans import recall
 
 
@@ -162,6 +162,43 @@ def test_either_key_gives_each_pair_once(spark):
     assert found == [(-1, 9), (1, 1), (2, 2), (2, 3)]
 
 
+def test_either_key_is_counted_without_its_pairs(spark):
+    left = spark.createDataFrame([(1, 5), (2, 6), (None, 7), (8, 8), (1, 5)], "a int, b int")
+    right = spark.createDataFrame([(1, 5), (3, 6), (2, None), (9, 7), (4, 5)], "c int, d int")
+    pairs = search.either_key(left, right, ("a", "c"), ("b", "d")).groupBy("b").agg(F.count("*").alias("pairs"))
+    assert sorted(map(tuple, search.either_count(left, right, ("a", "c"), ("b", "d"), ["b"]).collect())) == sorted(map(tuple, pairs.collect())) == [(5, 4), (6, 2), (7, 1)]
+
+
+def test_the_best_coalition_is_that_of_all_pairs_without_ranking_them(spark):
+    rng = random.Random(9)
+    agents = [(i, i % 2, rng.choice([0.3, 0.5, 0.7, 0.75, 0.9]), rng.choice([0.5, 0.8]), rng.randrange(4), rng.sample("abcd", 2)) for i in range(60)]
+    df = spark.createDataFrame(agents, "id int, ideal int, strength double, reliability double, cost int, abilities array<string>")
+    found = strategy.coalitions(df, "ideal", 0.8, -0.6, 4)
+    expected = {}
+    for i, a in enumerate(agents):
+        for b in agents[i + 1 :]:
+            if a[1] == b[1] and a[2] < 0.8 and b[2] < 0.8 and a[4] + b[4] <= 4:
+                differ = 1 - len(set(a[5]) & set(b[5])) / len(set(a[5]) | set(b[5]))
+                score = round(math.sqrt(a[2] * b[2]) * (1 + differ) * math.sqrt(a[3] * b[3]), 6)
+                if score >= 0.2:
+                    expected[a[1]] = min(expected.get(a[1], (9,)), (-score, a[0], b[0]))
+    assert {r.ideal: (-r.score, r.first, r.second) for r in found.collect()} == expected
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_guarded_answers_gather_no_sets(spark):
+    facts = spark.createDataFrame([(1, "g", "x"), (1, "h", "x"), (2, "g", "x"), (2, "h", "y"), (3, "g", "x"), (4, "g", None), (4, "h", None), (5, "g", "x"), (5, "g", "y"), (5, "h", "x"), (6, "g", "x"), (6, "h", None)], "k int, guard string, value string")
+    found = strategy.guarded(facts, spark.createDataFrame([("u", ["g"]), ("v", ["h"])], "world string, holds array<string>"), ["k"])
+    assert sorted((r.k, r.state, r.value) for r in found.collect()) == [(1, "resolved", "x"), (2, "contested", None), (3, "abstain", None), (4, "contested", None), (5, "contested", None), (6, "contested", None)]
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_bindings_count_each_once(spark):
+    found = narrative.shared_bindings(spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 7), (2, 8), (1, 8), (3, 8)], "claim int, binding int"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 2), (1, 3, 1), (2, 3, 1)]
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_passages_abstain_and_contest(spark):
     docs = spark.createDataFrame([(1, "They won 24-17."), (2, "They won 24-17. No, they won 20-17."), (3, "Nothing here 3-4."), (4, None), (5, "")], "k int, text string")
     assert {r.k: (r.state, r.value) for r in proofs.score_margin(docs, ["k"]).collect()} == {1: ("resolved", "7"), 2: ("contested", None), 3: ("abstain", None), 4: ("abstain", None), 5: ("abstain", None)}
