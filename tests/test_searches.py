@@ -77,6 +77,16 @@ def test_similar_pairs_move_only_rows_that_share_a_rare_word(spark, monkeypatch)
     assert {(r.g, r._w) for r in kept[0].collect() if r.g == 1} == {(1, "p6")}
 
 
+def test_similar_pairs_meet_without_their_sets(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: kept.append(df.cache()) or kept[-1])
+    rows = [(i // 4, i, sorted([f"own{i}x{j}" for j in range(30)] + [f"g{i // 4}x{j}" for j in range(3 + i % 9)])) for i in range(40)]
+    found = {(r.a, r.b): r.similarity for r in retrieval.similar_pairs(spark.createDataFrame(rows, "g int, id long, words array<string>"), ["g"], "id", "words", 0.12).collect()}
+    plain = {(a[1], b[1]): len(set(a[2]) & set(b[2])) / len(set(a[2]) | set(b[2])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]}
+    assert found == pytest.approx({k: v for k, v in plain.items() if v >= 0.12}) and found
+    assert [sorted(df.dtypes) for df in kept] == [[("_n", "int"), ("_w", "string"), ("g", "int"), ("id", "bigint")]]
+
+
 def test_a_lexical_ranking_reads_its_documents_once(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i % 7} common text {i % 3}") for i in range(50)], "fact_id long, text string").write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
