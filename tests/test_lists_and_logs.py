@@ -1,6 +1,7 @@
 """Literal expectations for rankings, logs, conjunctive programs, calendars and scoring."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def test_log_states(spark):
     assert kv.get(log, spark.createDataFrame([(7,)], "fact_id long"), 3).first().value == 5
 
 
+def test_alias_counts_are_those_of_the_walked_forms(spark):
+    rng = random.Random(5)
+    pairs = [(f"p{i}", f"g{rng.randrange(4)}") for i in range(30)] + [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(10)] + [("p1", "g9"), ("n2", "g1"), ("x", "y"), ("v", "u"), ("s", "s")]
+    links = spark.createDataFrame(pairs + pairs[:3], "left string, right string")
+    start = spark.createDataFrame([(i, x) for i, x in enumerate(sorted({x for p in pairs for x in p}))] + [(90, "p2"), (90, "p3"), (90, "g1"), (91, "absent"), (92, "x"), (92, "y"), (0, "n1")], "query long, form string")
+    for hops in (1, 2, 3, 4):
+        walked = conjunctive.alias_closure(start, links, hops).groupBy("query", "hop").agg(F.count("*").alias("forms"))
+        assert sorted(conjunctive.alias_counts(start, links, hops).collect()) == sorted(walked.collect())
+
+
+def test_alias_counts_of_a_large_group_keep_a_row_for_each_query(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(conjunctive, "materialize", lambda df, name: kept.append(df.cache()) or kept[-1])
+    links = spark.createDataFrame([(f"p{i}", "g") for i in range(2000)], "left string, right string")
+    found = conjunctive.alias_counts(links.select(F.col("left").alias("query"), F.col("left").alias("form")), links)
+    assert found.groupBy("hop", "forms").count().orderBy("hop").collect() == [(0, 1, 2000), (1, 1, 2000), (2, 1999, 2000)]
+    assert max(df.count() for df in kept) == 2000
+
+
 EDGE = "predicate string, a0 string, a1 string, fact_id long"
 
 
