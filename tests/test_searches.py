@@ -219,6 +219,21 @@ def test_passages_abstain_and_contest(spark):
     assert proofs.event_interval(tie, events, ["k"]).first().state == "abstain"
 
 
+def test_intervals_are_told_by_their_own_row(spark):
+    rows = [
+        ("The treaty was signed on 1950-01-02. The war ended on 1950-01-12.", "10", "1"), ("The war ended on 1950-01-12. The treaty was signed on 1948-12-31.", "377", "3"), ("The treaty signed 1950-01-02. The treaty signed 1950-01-12. The war ended 1951-01-01.", None, None),
+        ("The treaty signed and the war ended 1950-01-02.", None, None), ("The treaty was signed on 1950-02-31. The war ended on 1950-01-12.", None, None), ("The war ended 1950-01-02. The treaty signed 1951-01-02.", None, None), ("The pact 1950-01-02. The war ended 1950-01-12.", None, None), (None, None, None), ("", None, None),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(rows)], "k int, text string")
+    near = docs.select("k", "text", F.array(F.lit("treaty signed")).alias("left"), F.array(F.lit("war ended")).alias("right"))
+    days, years = proofs.interval_of(near, ["k"]), proofs.interval_of(near, ["k"], unit="year", closed=True)
+    assert [(r.state, r.value) for r in days.orderBy("k").collect()] == [("resolved" if d else "abstain", d) for _, d, _ in rows]
+    assert [(r.state, r.value) for r in years.orderBy("k").collect()] == [("resolved" if y else "abstain", y) for _, _, y in rows]
+    assert all(x not in days._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Window", "Join"))
+    sides = near.select("k", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.lit("treaty signed").alias("event")), F.struct(F.lit("right").alias("side"), F.lit("war ended").alias("event")))).alias("e")).select("k", "e.*")
+    assert sorted(proofs.event_interval(docs, sides, ["k"]).collect()) == sorted(days.collect())
+
+
 def test_diary_places_and_absence(spark):
     rows = [(1, 10, "I lost my keys at Grand Hotel."), (1, 11, "It rained in Paris."), (1, 13, "We ate in Paris."), (2, 10, "I lost my keys somewhere."), (3, 10, "I always lose my keys at Home.")]
     df = spark.createDataFrame(rows, "k int, fact_id long, text string")
