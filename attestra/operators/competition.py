@@ -102,17 +102,3 @@ def orbit_average(projections: DataFrame, by: list[str], path: str, value: str)
     strongest = projections.groupBy(*by, path).agg(F.max_by(value, F.struct(F.abs(value), value)).alias("v"))
     mean = strongest.groupBy(*by).agg(F.avg("v").alias("m"), F.count("*").alias("paths"))
     return mean.select(*by, F.when(F.abs("m") < 1e-12, 0.0).otherwise(F.round("m", 6)).alias("mean"), "paths")
-
-
-def set_coverage(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """tokens: doc, token; queries: query_id, token; each pair once. Inverse-frequency coverage of each query by each document that
-    holds one of its tokens, and its score. A query's weights are its own few rows; documents are joined by token."""
-    n = tokens.agg(F.count_distinct("doc").alias("n"))
-    wanted = queries.select("token").distinct()
-    df = wanted.join(tokens, "token", "left").groupBy("token").agg(F.count("doc").alias("df"))
-    weights = queries.join(df, "token").crossJoin(F.broadcast(n)).select("query_id", "token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("w"))
-    total = weights.groupBy("query_id").agg(F.sum("w").alias("all"))
-    hits = tokens.join(weights, "token").groupBy("query_id", "doc").agg(F.sum("w").alias("w"), F.count("*").alias("support"))
-    scored = hits.join(total, "query_id")
-    coverage = F.col("w") / F.col("all")
-    return scored.select("query_id", "doc", F.round(coverage, 6).alias("coverage"), "support", F.round(coverage * (1 + 0.05 * F.log1p("support")), 6).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import text as T
 from attestra.functions.outcome import shown
-from attestra.operators import competition, ranking, retrieval
+from attestra.operators import ranking, retrieval
 from attestra.operators.graphs import materialize
 from attestra.plans import tables
 from attestra.plans.tables import TURNS
@@ -192,8 +192,7 @@ JACCARD_SQL = f"WITH {TURNS}, w AS (SELECT fact_id, session_id, list_distinct({T
 
 def set_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each benchmark item's words every document covers that holds one of them."""
-    words = lambda df, key, name: df.select(F.col(key).alias(name), F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("token")).filter("token IS NOT NULL")
-    return competition.set_coverage(words(_docs(spark, folder), "fact_id", "doc"), words(tables.query_texts(spark, folder), "query_id", "query_id"))
+    return retrieval.set_coverage(_docs(spark, folder), tables.query_texts(spark, folder))
 
 
 COVERAGE_SQL = f"""WITH {DOCS}, w AS (SELECT DISTINCT fact_id AS doc, unnest({TOK}) AS token FROM docs), q AS (SELECT DISTINCT query_id, unnest({TOK}) AS token FROM asked), n AS (SELECT count(DISTINCT doc) AS n FROM w), df AS (SELECT token, count(*) AS df FROM w GROUP BY 1),

@@ -87,6 +87,26 @@ def test_similar_pairs_meet_without_their_sets(spark, monkeypatch):
     assert [sorted(df.dtypes) for df in kept] == [[("_n", "int"), ("_w", "string"), ("g", "int"), ("id", "bigint")]]
 
 
+def test_set_coverage_gives_each_document_its_own_rows(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{min(rng.randrange(20), rng.randrange(20))}" for _ in range(rng.randrange(1, 7)))
+    docs, asked = [(i, text()) for i in range(60)] + [(70, None), (71, ""), (72, "other")], [(i, text() + " absent" * (i % 2)) for i in range(9)] + [(9, ""), (10, None)]
+    tables = spark.createDataFrame(docs, "fact_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    held, n = {i: set((t or "").split()) for i, t in docs}, 61
+    weight = {t: math.log((n + 1) / (sum(t in h for h in held.values()) + 1)) for _, x in asked for t in (x or "").split()}
+    plain = {}
+    for q, x in asked:
+        wanted = set((x or "").split())
+        for d, h in held.items():
+            if wanted & h:
+                c = sum(weight[t] for t in wanted & h) / sum(weight[t] for t in wanted)
+                plain[q, d] = (len(wanted & h), pytest.approx(c, abs=2e-6), pytest.approx(c * (1 + 0.05 * math.log1p(len(wanted & h))), abs=2e-6))
+    for block in (4, 8192):
+        found = retrieval.set_coverage(*tables, block=block)
+        assert {(r.query_id, r.doc): (r.support, r.coverage, r.score) for r in found.collect()} == plain and found.count() == len(plain)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_lexical_ranking_reads_its_documents_once(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i % 7} common text {i % 3}") for i in range(50)], "fact_id long, text string").write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
