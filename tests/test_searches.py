@@ -123,6 +123,15 @@ def test_a_lexical_ranking_reads_its_documents_once(spark, tmp_path):
     assert retrieval.bm25_scores(docs.limit(0), asked).count() == retrieval.bm25_scores(docs, asked.limit(0)).count() == 0
 
 
+def test_rankings_tokenize_their_documents_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text {i % 3}") for i in range(50)], "fact_id long, text string").withColumn("text", told("text"))
+    asked = spark.createDataFrame([(1, "word3 common"), (2, "absent"), (4, "word1 word2 0")], "query_id long, text string")
+    assert [r.fact_id for r in retrieval.lexical_top(docs, asked, 2).filter("query_id = 1").orderBy("rank").collect()] == [3, 10]
+    assert seen.value == 50
+
+
 def test_rankings_that_keep_the_best_are_those_of_all_scores(spark):
     rng = random.Random(7)
     text = lambda: " ".join(f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 9)))
