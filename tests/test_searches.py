@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.functions import observe
+from attestra.functions import text as T
 from attestra.operators import conjunctive, diary, narrative, proofs, ranking, retrieval, search, strategy
 from attestra.plans import recall
 
@@ -132,6 +133,30 @@ def test_rankings_tokenize_their_documents_once(spark):
     assert seen.value == 50
 
 
+def test_batches_split_as_columns_do(spark):
+    rng = random.Random(3)
+    some = "aB9 _-\u0130\u03a3\u03c3\u03c2K\u212a\u212b\u023a\u1e9e\u00df\u00c9e\u0301\u0416\u4e2d\u00b2\u00bd\u01c5\U0001d400\U00010400\u0660\n'"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(300)] + [None, "", "a", "\u03a3", "\u0391\u03a3 \u03a3", "\u4e2d"]
+    texts += ["".join(chr(rng.choice((rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(40)) for _ in range(100)]
+    bad = spark.createDataFrame(list(enumerate(texts)), "id long, text string").union(spark.sql("SELECT 1000L, cast(unhex('C3416220F09F7A') AS string)")).coalesce(1)
+    splitter = T.Splitter.of(spark)
+    table = bad.select(splitter.ready(F.col("text")).alias("t"), T.tokens(F.col("text")).alias("w")).toArrow().combine_chunks()
+    for start, size in ((0, 500), (7, 100), (300, 0)):
+        part = table.slice(start, size)
+        counts, tokens = splitter.split(part.column(0).combine_chunks())
+        tokens.validate(full=True)
+        assert counts.tolist() == [len(w) for w in part.column(1).to_pylist()] and tokens.to_pylist() == [t for w in part.column(1).to_pylist() for t in w]
+
+
+def test_a_conformal_ranking_tokenizes_its_documents_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text {i % 3}") for i in range(50)], "fact_id long, text string").withColumn("text", told("text"))
+    asked = spark.createDataFrame([(1, "word3 common"), (2, "absent"), (4, "word1 word2 0")], "query_id long, text string")
+    assert {r.query_id for r in retrieval.conformal_top(docs, asked.filter("query_id < 3"), asked.filter("query_id = 4"), 0.1, 3).collect()} == {1}
+    assert seen.value == 50
+
+
 def test_rankings_that_keep_the_best_are_those_of_all_scores(spark):
     rng = random.Random(7)
     text = lambda: " ".join(f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 9)))
