@@ -69,10 +69,7 @@ def dense_hash_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    docs, asked = _docs(spark, folder), tables.query_texts(spark, folder)
-    lexical = retrieval.tfidf(docs, asked, 32).select("query_id", F.lit("lexical").alias("channel"), "fact_id", "rank")
-    dense = retrieval.dense(docs, asked, 32).select("query_id", F.lit("dense").alias("channel"), "fact_id", "rank")
-    return _rounded(ranking.fuse(lexical.union(dense), ["query_id"], ["lexical", "dense"], 60, 10))
+    return _rounded(retrieval.hybrid(_docs(spark, folder), tables.query_texts(spark, folder), 10))
 
 
 def embedding_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:

@@ -195,6 +195,32 @@ def test_dense_ranking_in_blocks_is_that_of_one_block(spark):
     assert pick() == pick(block=6) and len({q for q, _, _ in pick()}) == 20
 
 
+def test_a_hybrid_ranking_tokenizes_its_documents_once(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(6))
+    docs = spark.createDataFrame([(i, text()) for i in range(80)] + [(80, None), (81, "")], "fact_id long, text string")
+    asked = spark.createDataFrame([(i, text()) for i in range(20)] + [(20, ""), (21, "absent")], "query_id long, text string")
+    ranked = [f(docs, asked, 32).select("query_id", F.lit(c).alias("channel"), "fact_id", "rank") for c, f in (("lexical", retrieval.tfidf), ("dense", retrieval.dense))]
+    pick = lambda df: sorted((r.query_id, r["rank"], r.fact_id, round(r.score, 9)) for r in df.collect())
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+    found = pick(retrieval.hybrid(docs.withColumn("text", told("text")), asked, 10))
+    assert seen.value == 82
+    assert found == pick(ranking.fuse(ranked[0].union(ranked[1]), ["query_id"], ["lexical", "dense"], 60, 10)) == pick(retrieval.hybrid(docs, asked, 10, block=6))
+    # cosines of signed counts by plain Python
+    plain = {}
+    for side in (docs, asked):
+        for key, t in side.collect():
+            held = {}
+            for w in (t or "").split():
+                d = hashlib.sha256(w.encode()).digest()
+                held[d[0] + 256 * d[1]] = held.get(d[0] + 256 * d[1], 0) + (-1 if d[4] % 2 else 1)
+            plain[side is docs, key] = held
+    for q, f, score in retrieval.dense(docs, asked, 3).select("query_id", "fact_id", "score").collect():
+        a, b = plain[False, q], plain[True, f]
+        assert score == pytest.approx(sum(v * b.get(k, 0) for k, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), abs=1e-8)
+
+
 def test_conformal_p_values_count_the_calibration(spark):
     rng = random.Random(5)
     calm = [round(rng.random() * 3, 2) for _ in range(200)]
