@@ -148,6 +148,15 @@ def test_batches_split_as_columns_do(spark):
         assert counts.tolist() == [len(w) for w in part.column(1).to_pylist()] and tokens.to_pylist() == [t for w in part.column(1).to_pylist() for t in w]
 
 
+def test_stretches_without_a_word_shift_no_counts(spark):
+    texts = [(i, "" if i < 2000 or i % 2 else f"w{i % 5} w1") for i in range(5000)]
+    docs = spark.createDataFrame(texts, "fact_id long, text string").coalesce(1).sortWithinPartitions("fact_id")
+    asked = spark.createDataFrame([(1, "w4")], "query_id long, text string")
+    for rank in (retrieval.bm25, retrieval.dense):
+        assert [r.fact_id for r in rank(docs, asked, 3).orderBy("rank").collect()] == [2004, 2014, 2024]
+    assert retrieval.hybrid(docs.filter("text = ''"), asked, 3).count() == 0
+
+
 def test_a_conformal_ranking_tokenizes_its_documents_once(spark):
     seen = spark.sparkContext.accumulator(0)
     told = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
